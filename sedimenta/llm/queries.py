@@ -10,6 +10,7 @@ from sedimenta.llm.components import components
 from sedimenta.llm.distinct import bits_for, estimates, merge_bitmaps, merge_sets, partial_bitmaps
 from sedimenta.llm.mixing import Share, sample_mix, water_fill
 from sedimenta.llm.splits import split_records
+from sedimenta.llm.subjects import subject_posteriors, subjects_of
 from sedimenta.llm.tokenizer import check_round_trip, count_tokens, encode_texts, vocabulary
 from sedimenta.operators.skew import heavy_keys, skew_join
 from sedimenta.operators.versions import latest_rows
@@ -166,7 +167,35 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "source string, target_share double, max_repeats long, tokens long, short boolean, planned_share double, mixed_tokens long, mixed_share double")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_splits, p1_shares, p3_found, p3_partials, p3_distinct, p7_ids, p7_round_trip, p8_found, p8_mix, p8_shares)}
+# Problem 9
+
+
+def _posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [r[0] for r in table(spark, sf_dir, "subjects", ["subject"]).distinct().orderBy("subject").collect()]
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return subject_posteriors(docs, "doc_id", "text", table(spark, sf_dir, "doc_subject_labels", ["doc_id", "subject"]), names)
+
+
+def p9_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated posterior of each subject of each document, where there is evidence for it."""
+    return _posteriors(spark, sf_dir).select("doc_id", "subject", "posterior")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects of each document, two at most."""
+    return subjects_of(_posteriors(spark, sf_dir), "doc_id")
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents about each subject and their share of the corpus."""
+    n = max(1, table(spark, sf_dir, "documents", ["doc_id"]).count())
+    found = subjects_of(_posteriors(spark, sf_dir), "doc_id").groupBy("subject").agg(F.count("*").alias("n"))
+    every = table(spark, sf_dir, "subjects", ["subject"]).distinct().join(found, "subject", "left")
+    count = F.coalesce("n", F.lit(0))
+    return every.select("subject", count.alias("n"), (count / n).alias("share"))
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_splits, p1_shares, p3_found, p3_partials, p3_distinct, p7_ids, p7_round_trip, p8_found, p8_mix, p8_shares, p9_found, p9_posteriors, p9_composition)}
 
 ORACLE = {
     "p1_found": f"""WITH RECURSIVE {TX_SQL}, e AS (SELECT old_card1 AS a, new_card1 AS b FROM card_reissues WHERE old_card1 IS NOT NULL AND new_card1 IS NOT NULL
