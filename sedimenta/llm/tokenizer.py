@@ -39,8 +39,12 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.texts = {i: t for t, i in ranks.items()}
-        self.lengths = sorted({len(t) for t in ranks}, reverse=True)
+        endings: dict[bytes, set[int]] = {}
+        for t in ranks:
+            endings.setdefault(t[-3:], set()).add(len(t))
+        self.endings = {end: sorted(n, reverse=True) for end, n in endings.items()}
         self.fits: dict[tuple[int, int], bool] = {}
+        self.edges: tuple[dict[int, list], dict[int, list]] = ({}, {})  # no more than the vocabulary has
         self.forget()
 
     def forget(self) -> None:
@@ -84,33 +88,58 @@ class Transducer:
         return tuple(reversed(out))
 
     def _settle(self, piece: bytes, end: int, last_at) -> int:  # noqa: ANN001
-        for length in self.lengths:
-            start = end - length
-            token = self.ranks.get(piece[start:end]) if start >= 0 else None
-            if token is not None and (start == 0 or self._fit(last_at(start), token)):
-                return token
+        for tail in (piece[max(0, end - 3) : end], piece[max(0, end - 2) : end], piece[end - 1 : end]):
+            for length in self.endings.get(tail, ()):
+                start = end - length
+                token = self.ranks.get(piece[start:end]) if start >= 0 else None
+                if token is not None and (start == 0 or self._fit(last_at(start), token)):
+                    return token
         raise ValueError("the vocabulary lacks a single byte")
 
     def _fit(self, left: int, right: int) -> bool:
         known = self.fits.get((left, right))
         if known is None:
-            if len(self.fits) > 4 * MOST_STATES:
+            if len(self.fits) > 2 * MOST_STATES:
                 self.fits.clear()
-            known = self.fits[left, right] = self._merged(self.texts[left] + self.texts[right]) == [left, right]
+            known = self.fits[left, right] = self._apart(self._edge(left, 1), self._edge(right, 0))
         return known
 
-    def _merged(self, data: bytes) -> list[int]:
+    def _apart(self, left: list[tuple[bytes, int]], right: list[tuple[bytes, int]]) -> bool:
+        """Whether no merge joins two tokens: their parts at the border grow in the order of ranks, and at each moment
+        the merge over the border must come after the next one within; of equal ranks the one further left comes first.
+        """
+        ranks, i, j = self.ranks, 0, 0
+        while True:
+            grown_left = left[i + 1][1] if i + 1 < len(left) else 1 << 62
+            grown_right = right[j + 1][1] if j + 1 < len(right) else 1 << 62
+            over = ranks.get(left[i][0] + right[j][0])
+            if over is not None and over < grown_left and over <= grown_right:
+                return False
+            if grown_left == grown_right == 1 << 62:
+                return True
+            if grown_left <= grown_right:
+                i += 1
+            else:
+                j += 1
+
+    def _edge(self, token: int, side: int) -> list[tuple[bytes, int]]:
+        """What stands at one side of a token while it is merged together: a byte, ever longer parts, the token."""
+        known = self.edges[side].get(token)
+        if known is None:
+            data = self.texts[token]
+            inner = [] if len(data) == 1 else self._edge(self.ranks[self._halves(data, token)[side]], side)
+            known = self.edges[side][token] = [*inner, (data, token)]
+        return known
+
+    def _halves(self, data: bytes, below: int) -> list[bytes]:
+        """The two parts of a token before the merge that makes it."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, 0
-            for i in range(len(parts) - 1):
-                rank = self.ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
+        while len(parts) > 2:
+            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], below), i) for i in range(len(parts) - 1))
+            if rank >= below:
+                raise ValueError("the vocabulary has a token that no merges make")
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
 
 
 class _Pieces(dict):
