@@ -10,8 +10,6 @@ from sedimenta.operators.skew import heavy_keys, skew_aggregate
 from sedimenta.plans.transactions import TX_SQL, days, latest
 from sedimenta.sources.tables import bounded, table
 
-SUMS = {"n": F.count("*"), "total_cents": F.sum("cents")}
-MERGED = {"n": F.sum("n"), "total_cents": F.sum("total_cents")}
 KEYS = ["field_name", "key_value"]
 
 
@@ -31,8 +29,9 @@ def _totals(spark: SparkSession, sf_dir: str, within: list[str], sums: list[str]
     tx = days(latest(spark, sf_dir, *columns))
     if within:
         tx = tx.withColumn("tx_week", D.week_of(F.col("tx_day")))
+    first = {"n": F.count("*"), "total_cents": F.sum("cents")}
     long = _fields(tx, "TransactionID", *within, *["cents"] * ("total_cents" in sums))
-    return skew_aggregate(long, KEYS, within, {k: SUMS[k] for k in sums}, {k: MERGED[k] for k in sums}, heavy, F.col("TransactionID"))
+    return skew_aggregate(long, KEYS, within, {k: first[k] for k in sums}, {k: F.sum(k) for k in sums}, heavy, F.col("TransactionID"))
 
 
 def p2_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +46,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of any executor."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Rounds:
+    """Tables of a loop. Each is written as Parquet to the shared folder; the one it replaces is then deleted.
+
+    Unlike a checkpoint, a table that is read again carries nothing of the plan
+    that made it, so planning a late round takes no longer than the first.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folder = f"{checkpoint_dir(spark)}/rounds-{uuid.uuid4().hex}"
+        self.at: dict[str, int] = {}
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        n = self.at[name] = self.at.get(name, 0) + 1
+        path = f"{self.folder}/{name}-{n}"
+        df.write.parquet(path)
+        if n > 1:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}-{n - 1}")
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        return self.spark.read.schema(df.schema).parquet(path)
