@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.operators.graph import NODE
-from sedimenta.session import Rounds
+from sedimenta.session import Rounds, ship_package
 
 
 def pagerank(e: DataFrame, keys: DataFrame, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-8) -> DataFrame:
@@ -122,6 +122,7 @@ def louvain(pairs: DataFrame, resolution: float = 1.0, most_pairs: int = 20_000_
     sorted order, so the result is the same each time. A community's number is
     its smallest node's place.
     """
+    ship_package(pairs.sparkSession)
     if pairs.limit(most_pairs + 1).count() > most_pairs:
         raise ValueError(f"louvain takes {most_pairs} pairs at most")
 

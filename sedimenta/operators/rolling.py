@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.session import ship_package
+
 #: Day cells of one dense piece; bounds a worker's memory.
 CELLS = 1_000_000
 
@@ -42,6 +44,7 @@ def rolling_totals(daily: DataFrame, entity: str, day: str, amount: str, widths:
     result where they arise. Days after ``last_day`` are left out; NULL amounts
     are 0; rows without entity or day are left out.
     """
+    ship_package(daily.sparkSession)
     rows = daily.where(F.col(entity).isNotNull() & F.col(day).isNotNull() & (F.col(day) <= last_day))
     rows = rows.select(F.col(entity).cast("long").alias("e"), F.col(day).cast("long").alias("d"), F.coalesce(F.col(amount).cast("long"), F.lit(0).cast("long")).alias("a"))
     ordered = rows.repartition("e").sortWithinPartitions("e", "d")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,20 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to the executors' Python workers, once a session; they may have no copy of their own."""
+    context = spark.sparkContext
+    if getattr(context, "_sedimenta_shipped", False):
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="sedimenta-")) / "sedimenta.zip"  # on the driver, which serves it
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, f"{root.name}/{path.relative_to(root)}")
+    context.addPyFile(str(archive))
+    context._sedimenta_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder.
 
