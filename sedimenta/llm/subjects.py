@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.session import cut_lineage
+from sedimenta.session import cut_lineage, ship_package
 
 LETTERS = re.compile(r"[^\W\d_]+")
 HUMPS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^A-Za-z]+")
@@ -294,6 +294,7 @@ def subject_posteriors(docs: DataFrame, doc_id: str, text: str, labels: DataFram
     of unknown documents or subjects and repeated ones change nothing.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     known = labels.where(F.col("subject").isin(list(subjects)) & F.col(doc_id).isNotNull()).select(doc_id, "subject").distinct()
     if not subjects or known.isEmpty():

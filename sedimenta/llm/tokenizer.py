@@ -13,6 +13,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from sedimenta.session import ship_package
+
 #: Where the public vocabularies lie; a parameter of every operator here.
 FOLDER = "/opt/tokenizers"
 # How the vocabulary's publisher cuts a text before the merges, and the same for texts of ASCII only.
@@ -217,6 +219,7 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 def vocabulary(spark: SparkSession, path: str | None = None):  # noqa: ANN201
     """A rank file, read on the driver and broadcast: a fixed megabyte whatever the corpus."""
+    ship_package(spark)
     with open(path or os.path.join(FOLDER, "byte_bpe_50k.tiktoken"), "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 
