@@ -33,8 +33,8 @@ def _client_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         "TransactionID",
         "loaded_at",
         "card1",
-        D.whole(F.col("addr1")).alias("addr"),
-        (D.day_of(F.col("TransactionDT")) - D.whole(F.col("D1"))).alias("start_day"),
+        D.present(F.col("addr1")).alias("addr"),
+        (D.day_of(F.col("TransactionDT")) - D.present(F.col("D1"))).alias("start_day"),
     )
     same = components(table(spark, sf_dir, "card_reissues"), "old_card1", "new_card1").withColumnsRenamed({"node": "card1"})
     if same.limit(MOST_CARDS + 1).count() <= MOST_CARDS:
@@ -202,7 +202,7 @@ ORACLE = {
         UNION SELECT new_card1, old_card1 FROM card_reissues WHERE old_card1 IS NOT NULL AND new_card1 IS NOT NULL),
       reach AS (SELECT a AS node, a AS low FROM e UNION SELECT e.b, reach.low FROM reach JOIN e ON e.a = reach.node),
       root AS (SELECT node, min(low) AS root FROM reach GROUP BY node),
-      k AS (SELECT TransactionID, coalesce(root, card1) AS card, CAST(addr1 AS BIGINT) AS addr, tx_day - CAST(D1 AS BIGINT) AS start_day FROM tx LEFT JOIN root ON node = card1),
+      k AS (SELECT TransactionID, coalesce(root, card1) AS card, addr1 AS addr, tx_day - D1 AS start_day FROM tx LEFT JOIN root ON node = card1),
       f AS (SELECT TransactionID, min(TransactionID) OVER (PARTITION BY card, addr, start_day) AS first_id FROM k WHERE card IS NOT NULL AND addr IS NOT NULL AND start_day IS NOT NULL)
       SELECT first_id, TransactionID FROM f WHERE first_id <> TransactionID""",
     "p3_found": f"""WITH {TX_SQL}, g AS (SELECT DeviceInfo, 'all' AS product_group, tx_day, card1 FROM tx WHERE DeviceInfo IS NOT NULL
