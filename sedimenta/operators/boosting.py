@@ -28,6 +28,14 @@ def train_boosted(df: DataFrame, features: Sequence[str], label: str, validation
     return model.fit(data)
 
 
+def save_model(model: GBTClassificationModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> GBTClassificationModel:
+    return GBTClassificationModel.load(path)
+
+
 def predict(model: GBTClassificationModel, df: DataFrame, features: Sequence[str], out: str = "p") -> DataFrame:
     made = model.transform(assemble(df, features))
     return made.withColumn(out, vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +12,11 @@ from sedimenta.operators import boosting as X
 from sedimenta.operators import metrics as M
 from sedimenta.operators import reporting as R
 from sedimenta.operators.calibration import calibration_summary
+from sedimenta.operators.relational import select_features
 from sedimenta.plans.tabular import _TEXT, SPLIT_SQL, rounded, split_tx, tx
 from sedimenta.plans.transactions import TX_SQL
-from sedimenta.session import cut_lineage
-from sedimenta.sources.tables import table
+from sedimenta.session import checkpoint_dir, cut_lineage
+from sedimenta.sources.tables import read_csv, table
 
 WEIGHTS = ["C1", "C2", "C13", "V12", "V45", "D1", "D2", "dist1", "TransactionAmt"]
 ANCHORS = ["card1", "DeviceInfo", "addr1"]
@@ -127,6 +130,32 @@ def q_m4_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.importance_table(X.permutation_contributions(model, sample, "TransactionID", FEATURES), FEATURES))
 
 
+def q_m6_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models with and without the C block: chosen on the validation period, both judged on the test period once."""
+    df = cut_lineage(split_tx(spark, sf_dir, "isFraud", *FEATURES).where("split <> 'gap'"))
+    fit = df.where("split in ('train', 'val')").withColumn("is_val", F.col("split") == "val")
+    out = None
+    for name, blocks in (("with_c", ["base", "D", "C", "V"]), ("without_c", ["base", "D", "V"])):
+        features = select_features(FEATURES, blocks)
+        scored = cut_lineage(X.predict(X.train_boosted(fit, features, "isFraud", "is_val", rounds=10), df.where("split <> 'train'"), features).select("TransactionID", "isFraud", "split", "p"))
+        for period in ("val", "test"):
+            one = M.evaluate(scored.where(F.col("split") == period), "TransactionID", "isFraud", "p").withColumns({"model": F.lit(name), "period": F.lit(period), "parameters": F.lit(R.parameter_hash({"blocks": blocks, "rounds": 10}))})
+            out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
+def q_s1_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loads written as CSV to the shared folder and scanned again under a schema."""
+    path = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "loads", ["load_id", "file_name", "n_rows"]).write.option("header", True).csv(path)
+    return read_csv(spark, path, "load_id long, file_name string, n_rows long")
+
+
+def q_u1_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables with different columns one below the other."""
+    return R.union_logs([table(spark, sf_dir, "loads", ["load_id", "n_rows"]), table(spark, sf_dir, "split_targets", ["split_name", "target_share"])])
+
+
 QUERIES = {n: q for n, q in list(globals().items()) if n.startswith("q_") and q.__module__ == __name__}
 
 _IMP = f"WITH {TX_SQL}, l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs({c}::DOUBLE) AS v FROM tx" for c in WEIGHTS) + """),
@@ -138,6 +167,8 @@ _ENT = f"WITH {TX_SQL}, l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_na
 _RT = f"WITH {TX_SQL}, s AS (SELECT *, {SPLIT_SQL} AS split FROM tx)"
 _AUC = " UNION ALL ".join(f"SELECT '{c}' AS column_name, split, isFraud, {c} AS x FROM s WHERE split <> 'gap' AND {c} IS NOT NULL AND NOT isnan({c})" for c in ("C1", "C13"))
 ORACLE = {
+    "q_s1_csv": "SELECT load_id, file_name, n_rows FROM loads",
+    "q_u1_union": "SELECT load_id, n_rows, NULL AS split_name, NULL AS target_share FROM loads UNION ALL SELECT NULL, NULL, split_name, target_share FROM split_targets",
     "q_a20_importance": f"{_IMP} SELECT feature, round(mean_abs, 6) AS mean_abs, feature_group, place FROM imp",
     "q_a21_groups": f"{_IMP} SELECT feature_group, count(*) AS n, round(sum(mean_abs), 6) AS total, round(avg(mean_abs), 6) AS mean, round(max(mean_abs), 6) AS largest, round(sum(mean_abs) / sum(sum(mean_abs)) OVER (), 6) AS pct_of_total FROM imp GROUP BY 1",
     "q_m5_decision": f"{_IMP}, d AS (SELECT max(mean_abs) FILTER (feature = 'C13') AS w, max(place) FILTER (feature = 'C13') AS p, max(mean_abs) FILTER (feature = 'C1') AS b FROM imp) SELECT round(w, 6) AS weight, p AS place, round(w / b, 6) AS ratio, (w / b < 0.2 OR p > 50) AS dropped FROM d",
