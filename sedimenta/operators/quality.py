@@ -47,23 +47,33 @@ def value_counts(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
     spread over its columns and values.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    parts: list[Column] = []
+    nums, txts = [], []
     for c in (c for c in columns if c in kinds):
-        num, txt = F.lit(None).cast("double"), F.lit(None).cast("string")
         if isinstance(kinds[c], NumericType):
-            num = F.nanvl(F.col(c).cast("double"), num)
-            num = F.when(num == 0, F.lit(0.0)).otherwise(num)
+            num = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+            nums.append((c, F.when(num == 0, F.lit(0.0)).otherwise(num)))
         elif isinstance(kinds[c], BooleanType):
-            num = F.col(c).cast("int").cast("double")
+            nums.append((c, F.col(c).cast("int").cast("double")))
         elif isinstance(kinds[c], (TimestampType, TimestampNTZType, DateType)):
-            num = F.col(c).cast("timestamp").cast("double")
-        elif isinstance(kinds[c], StringType):
-            txt = F.col(c)
+            nums.append((c, F.col(c).cast("timestamp").cast("double")))
         else:
-            txt = F.to_json(F.struct(F.col(c)))
-        parts += [F.lit(c), num, txt]
-    long = df.select(group, F.stack(F.lit(len(parts) // 3), *parts).alias("column_name", "num", "txt"))
-    return long.groupBy(group, "column_name", "num", "txt").agg(F.count("*").alias("n"))
+            txts.append((c, F.col(c) if isinstance(kinds[c], StringType) else F.to_json(F.struct(F.col(c)))))
+
+    def counted(of: list[tuple[str, Column]]) -> DataFrame:
+        # columns by number, so that numbers are counted under keys of fixed width
+        parts = [x for i, (_, value) in enumerate(of) for x in (F.lit(i + 1), value)]
+        long = df.select(group, F.stack(F.lit(len(of)), *parts).alias("__c", "__v"))
+        name = F.element_at(F.array(*[F.lit(c) for c, _ in of]), F.col("__c")).alias("column_name")
+        return long.groupBy(group, "__c", "__v").agg(F.count("*").alias("n")).select(group, name, "__v", "n")
+
+    made = []
+    if nums:
+        made.append(counted(nums).select(group, "column_name", F.col("__v").alias("num"), F.lit(None).cast("string").alias("txt"), "n"))
+    if txts:
+        made.append(counted(txts).select(group, "column_name", F.lit(None).cast("double").alias("num"), F.col("__v").alias("txt"), "n"))
+    if not made:
+        raise ValueError("the table has none of the columns")
+    return made[0] if len(made) == 1 else made[0].unionByName(made[1])
 
 
 def profile(counts: DataFrame, group: str, baselines: list[Baseline]) -> DataFrame:
