@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sedimenta.functions import domain as D
 from sedimenta.operators.skew import heavy_keys, skew_aggregate
 from sedimenta.plans.transactions import TX_SQL, days, latest
+from sedimenta.session import cut_lineage
 from sedimenta.sources.tables import bounded, table
 
 KEYS = ["field_name", "key_value"]
@@ -23,7 +24,8 @@ def _fields(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.stack(F.lit(3), *named).alias(*KEYS))
 
 
-def _totals(spark: SparkSession, sf_dir: str, within: list[str], sums: list[str]) -> DataFrame:
+def _totals(spark: SparkSession, sf_dir: str, within: list[str], sums: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The transactions, and the totals per key."""
     heavy = heavy_keys(_fields(table(spark, sf_dir, "merged_train", ["P_emaildomain", "addr1", "card1"])), KEYS, share=0.005)
     columns = ["P_emaildomain", "addr1", "card1", *["TransactionDT"] * bool(within), *["TransactionAmt"] * ("total_cents" in sums)]
     tx = days(latest(spark, sf_dir, *columns))
@@ -31,26 +33,24 @@ def _totals(spark: SparkSession, sf_dir: str, within: list[str], sums: list[str]
         tx = tx.withColumn("tx_week", D.week_of(F.col("tx_day")))
     first = {"n": F.count("*"), "total_cents": F.sum("cents")}
     long = _fields(tx, "TransactionID", *within, *["cents"] * ("total_cents" in sums))
-    return skew_aggregate(long, KEYS, within, {k: first[k] for k in sums}, {k: F.sum(k) for k in sums}, heavy, F.col("TransactionID"))
+    return tx, skew_aggregate(long, KEYS, within, {k: first[k] for k in sums}, {k: F.sum(k) for k in sums}, heavy, F.col("TransactionID"))
 
 
 def p2_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count and total of every value of the three fields, missing ones included."""
-    return _totals(spark, sf_dir, [], ["n", "total_cents"]).select(*KEYS, "n", "total_cents")
+    return _totals(spark, sf_dir, [], ["n", "total_cents"])[1].select(*KEYS, "n", "total_cents")
 
 
 def p2_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same per week."""
-    return _totals(spark, sf_dir, ["tx_week"], ["n", "total_cents"]).select(*KEYS, "tx_week", "n", "total_cents")
+    return _totals(spark, sf_dir, ["tx_week"], ["n", "total_cents"])[1].select(*KEYS, "tx_week", "n", "total_cents")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that hold at least 3 % of a week's transactions."""
-    per_key = _totals(spark, sf_dir, ["tx_week"], ["n"])
-    # every transaction has one value or missing value of each field, so a field's counts add up to the week's
-    one = F.when(F.col("field_name") == "card1", F.col("n")).otherwise(0)
-    weeks = per_key.groupBy("tx_week").agg(F.sum(one).alias("week_n"))
-    held = per_key.where(F.col("key_value").isNotNull()).join(bounded(weeks, 10_000), "tx_week")
+    tx, per_key = _totals(spark, sf_dir, ["tx_week"], ["n"])
+    weeks = tx.groupBy("tx_week").agg(F.count("*").alias("week_n"))
+    held = per_key.where(F.col("key_value").isNotNull()).join(bounded(cut_lineage(weeks), 10_000), "tx_week")
     return held.where(100 * F.col("n") >= 3 * F.col("week_n")).select(*KEYS, "tx_week")
 
 
