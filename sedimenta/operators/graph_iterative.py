@@ -88,16 +88,56 @@ def component_sizes(e: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.select("tx").join(each, "tx", "left").select("tx", F.coalesce("s", F.lit(1)).alias("graph_component_size"))
 
 
-def core_numbers(pairs: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def core_numbers(pairs: DataFrame, one_task: int = 5_000_000, most_rounds: int = 100_000) -> DataFrame:
     """``node`` and ``core`` of an undirected graph of pairs ``a``, ``b``, without weights.
 
-    Every node's guess, first its degree, becomes the h-index of its
-    neighbours' guesses until nothing changes (Montresor et al. 2013). The
+    Up to ``one_task`` pairs, one task peels nodes off in order of degree.
+    Beyond, every node's guess, first its degree, becomes the h-index of its
+    neighbours' guesses until nothing changes (Montresor et al. 2013); the
     h-index comes from counts of neighbours by guess, so a node's neighbours
-    are never collected.
+    are never collected. Both are exact.
     """
-    tables = Rounds(pairs.sparkSession)
-    both = tables.write("both", pairs.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.where("a <> b").select("b", "a")).distinct())
+    proper = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if proper.limit(one_task + 1).count() <= one_task:
+        ship_package(pairs.sparkSession)
+        kind = pairs.schema["a"].dataType.simpleString()
+        return proper.repartition(1).mapInPandas(_peel, f"node {kind}, core long")
+    return _core_rounds(proper, most_rounds)
+
+
+def _peel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parts = list(frames)
+    if not parts or not sum(map(len, parts)):
+        return
+    whole = pd.concat(parts)
+    codes, names = pd.factorize(np.r_[whole["a"].to_numpy(), whole["b"].to_numpy()])
+    a, b = codes[: len(whole)], codes[len(whole) :]
+    order = np.argsort(np.r_[a, b], kind="stable")
+    near, starts = np.r_[b, a][order], np.r_[0, np.cumsum(np.bincount(np.r_[a, b], minlength=len(names)))]
+    left = np.diff(starts).copy()
+    core = np.zeros(len(names), dtype=np.int64)
+    buckets: dict[int, set[int]] = {}
+    for i, d in enumerate(left.tolist()):
+        buckets.setdefault(d, set()).add(i)
+    level, gone = 0, np.zeros(len(names), dtype=bool)
+    for _ in range(len(names)):
+        least = max(0, level - 1)
+        while not buckets.get(least):
+            least += 1
+        i = buckets[least].pop()
+        level = max(level, least)
+        core[i], gone[i] = level, True
+        for j in near[starts[i] : starts[i + 1]].tolist():
+            if not gone[j]:
+                buckets[left[j]].discard(j)
+                left[j] -= 1
+                buckets.setdefault(int(left[j]), set()).add(j)
+    yield pd.DataFrame({"node": names, "core": core})
+
+
+def _core_rounds(proper: DataFrame, most_rounds: int) -> DataFrame:
+    tables = Rounds(proper.sparkSession)
+    both = tables.write("both", proper.select(F.col("a").alias("u"), F.col("b").alias("v")).union(proper.select("b", "a")))
     guess = both.groupBy("u").agg(F.count("*").alias("core"))
     for _ in range(most_rounds):
         seen = both.join(guess.select(F.col("u").alias("v"), F.col("core").alias("c")), "v").join(guess, "u")
