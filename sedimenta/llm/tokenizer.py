@@ -43,7 +43,8 @@ class Transducer:
         self.texts = {i: t for t, i in ranks.items()}
         endings: dict[bytes, set[int]] = {}
         for t in ranks:
-            endings.setdefault(t[-3:], set()).add(len(t))
+            if len(t) > 3:
+                endings.setdefault(t[-4:], set()).add(len(t))
         self.endings = {end: sorted(n, reverse=True) for end, n in endings.items()}
         self.fits: dict[tuple[int, int], bool] = {}
         self.edges: tuple[dict[int, list], dict[int, list]] = ({}, {})  # no more than the vocabulary has
@@ -62,16 +63,17 @@ class Transducer:
         if len(self.last) > MOST_STATES:
             self.forget()
         step, last, before = self.next, self.last, self.before
-        path, state = [0], 0
-        for i, byte in enumerate(piece):
+        path, tokens, state = [0], [-1], 0
+        for byte in piece:
             key = state << 8 | byte
             state = step.get(key, 0)
             if not state:
-                token = self._settle(piece, i + 1, lambda at: last[path[at]])
+                token = self._settle(piece, len(path), tokens)
                 state = step[key] = len(last)
                 last.append(token)
-                before.append(path[i + 1 - len(self.texts[token])])
+                before.append(path[-len(self.texts[token])])
             path.append(state)
+            tokens.append(last[state])
         out = []
         while state:
             out.append(last[state])
@@ -82,21 +84,28 @@ class Transducer:
         """The same states, kept for this piece only."""
         last = [-1]
         for end in range(1, len(piece) + 1):
-            last.append(self._settle(piece, end, last.__getitem__))
+            last.append(self._settle(piece, end, last))
         out, end = [], len(piece)
         while end:
             out.append(last[end])
             end -= len(self.texts[last[end]])
         return tuple(reversed(out))
 
-    def _settle(self, piece: bytes, end: int, last_at) -> int:  # noqa: ANN001
-        for tail in (piece[max(0, end - 3) : end], piece[max(0, end - 2) : end], piece[end - 1 : end]):
-            for length in self.endings.get(tail, ()):
-                start = end - length
-                token = self.ranks.get(piece[start:end]) if start >= 0 else None
-                if token is not None and (start == 0 or self._fit(last_at(start), token)):
+    def _settle(self, piece: bytes, end: int, last: list[int]) -> int:
+        """The last token of ``piece[:end]``; ``last`` has those of the shorter prefixes. Longer candidates first."""
+        find, fit = self.ranks.get, self._fit
+        if end > 3:
+            for length in self.endings.get(piece[end - 4 : end], ()):
+                if length <= end:
+                    token = find(piece[end - length : end])
+                    if token is not None and (length == end or fit(last[end - length], token)):
+                        return token
+        for length in (3, 2):
+            if length <= end:
+                token = find(piece[end - length : end])
+                if token is not None and (length == end or fit(last[end - length], token)):
                     return token
-        raise ValueError("the vocabulary lacks a single byte")
+        return self.ranks[piece[end - 1 : end]]
 
     def _fit(self, left: int, right: int) -> bool:
         known = self.fits.get((left, right))
