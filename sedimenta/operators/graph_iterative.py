@@ -121,14 +121,12 @@ def _peel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         buckets.setdefault(d, set()).add(i)
     level, gone = 0, np.zeros(len(names), dtype=bool)
     for _ in range(len(names)):
-        least = max(0, level - 1)
-        while not buckets.get(least):
-            least += 1
-        i = buckets[least].pop()
-        level = max(level, least)
+        while not buckets.get(level):
+            level += 1
+        i = buckets[level].pop()
         core[i], gone[i] = level, True
         for j in near[starts[i] : starts[i + 1]].tolist():
-            if not gone[j]:
+            if not gone[j] and left[j] > level:  # no node's count falls below the level, as it is in that core anyway
                 buckets[left[j]].discard(j)
                 left[j] -= 1
                 buckets.setdefault(int(left[j]), set()).add(j)
