@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
+from sedimenta.session import cut_lineage
+
 #: Bin edges of :func:`load_drift` for numbers: 0 and a 1-2-5 series. Fixed values.
 EDGES = (0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0, 200.0, 500.0, 1000.0, 2000.0, 5000.0, 10000.0, 100000.0, 1000000.0)
 #: Shares at or below p10, p50 and p90 by definition. Fixed values.
@@ -161,26 +163,38 @@ def baseline_drift(profiles: DataFrame, group: str, floor: float = 1e-6) -> Data
     return profiles.where(below[0].isNotNull() & (F.col("n_values") > 0)).select(group, "column_name", index.alias("psi_baseline"))
 
 
-def load_drift(counts: DataFrame, group: str, floor: float = 1e-6) -> DataFrame:
+def load_drift(counts: DataFrame, group: str, floor: float = 1e-6, every_group: bool = False) -> DataFrame:
     """Stability index and chi-square of each group's columns against the group before.
 
     Bins: a number's place in ``EDGES``, a text itself; missing values are left
     out. Bins are counted before groups are compared, one shuffle per column
     and bin; no bin of either side is dropped. Chi-square takes the shares of
     the group before as expected, floored like those of the index.
+
+    Groups in which a column has no value are passed over, so the next one is
+    compared with the one before that. With ``every_group`` they aren't: all
+    shares of a side without values are the floor, and two such sides have no
+    bins and indices of 0. ``prev``, ``all`` and ``prev_all`` are the group
+    before and the values of both.
     """
-    there = counts.where(F.col("num").isNotNull() | F.col("txt").isNotNull())
+    has = F.col("num").isNotNull() | F.col("txt").isNotNull()
     place = F.size(F.filter(F.array(*[F.lit(e) for e in EDGES]), lambda e: e <= F.col("num")))
     bin_of = F.when(F.col("num").isNotNull(), F.concat(F.lit("#"), place.cast("string"))).otherwise(F.concat(F.lit("="), F.col("txt")))
-    bins = there.groupBy(group, "column_name", bin_of.alias("bin")).agg(F.sum("n").alias("n"))
+    bins = (counts if every_group else counts.where(has)).groupBy(group, "column_name", bin_of.alias("bin")).agg(F.sum("n").alias("n"))
     order = Window.partitionBy("column_name").orderBy(group)  # one row per group and column: as many as there are loads
-    totals = bins.groupBy(group, "column_name").agg(F.sum("n").alias("all"))
+    if every_group:
+        bins = cut_lineage(bins)  # with one of NULL for missing values; written, as each of its uses would count the rows again
+        totals = bins.groupBy(group, "column_name").agg(F.sum(F.when(F.col("bin").isNotNull(), F.col("n")).otherwise(0)).alias("all"))
+        bins = bins.where(F.col("bin").isNotNull())
+    else:
+        totals = bins.groupBy(group, "column_name").agg(F.sum("n").alias("all"))
     totals = totals.withColumn("prev", F.lag(group).over(order)).withColumn("prev_all", F.lag("all").over(order))
     pairs = totals.where(F.col("prev").isNotNull())
     now = bins.join(pairs, [group, "column_name"]).select(group, "column_name", "bin", "n", F.lit(0).cast("long").alias("was"))
     was = bins.select(F.col(group).alias("prev"), "column_name", "bin", "n").join(pairs.select(group, "column_name", "prev"), ["prev", "column_name"])
     was = was.select(group, "column_name", "bin", F.lit(0).cast("long").alias("n"), F.col("n").alias("was"))
-    both = now.unionByName(was).groupBy(group, "column_name", "bin").agg(F.sum("n").alias("n"), F.sum("was").alias("was")).join(pairs, [group, "column_name"])
-    a, e = F.greatest(F.col("n") / F.col("all"), F.lit(floor)), F.greatest(F.col("was") / F.col("prev_all"), F.lit(floor))
+    both = now.unionByName(was).groupBy(group, "column_name", "bin").agg(F.sum("n").alias("n"), F.sum("was").alias("was")).join(pairs, [group, "column_name"], "right")
+    share = lambda n, of: F.greatest(F.coalesce(F.try_divide(F.col(n), F.col(of)), F.lit(0.0)), F.lit(floor))
+    a, e = share("n", "all"), share("was", "prev_all")
     chi = (a - e) * (a - e) / e * F.col("all")
-    return both.groupBy(group, "column_name").agg(F.count("*").alias("n_bins"), F.sum((a - e) * F.log(a / e)).alias("psi_before"), F.sum(chi).alias("chi2_before"))
+    return both.groupBy(group, "column_name", "prev", "all", "prev_all").agg(F.count("bin").alias("n_bins"), F.sum((a - e) * F.log(a / e)).alias("psi_before"), F.sum(chi).alias("chi2_before"))

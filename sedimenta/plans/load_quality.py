@@ -25,7 +25,7 @@ def p6_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far the baseline's columns moved from the baseline and from the load before."""
+    """How far the baseline's columns moved from the baseline and from the load before that has values of the column."""
     usual = _usual(spark, sf_dir)
     counts = value_counts(table(spark, sf_dir, "merged_train"), "load_id", [b.column for b in usual])
     moved = load_drift(counts, "load_id").join(baseline_drift(profile(counts, "load_id", usual), "load_id"), ["load_id", "column_name"], "full")
@@ -33,6 +33,17 @@ def p6_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("load_id", "column_name", "n_bins", *rounded)
 
 
+def p6_drift_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every column but the load's own two moved from the load before, whether or not it has values there; the baseline's also from the baseline."""
+    usual = _usual(spark, sf_dir)
+    df = table(spark, sf_dir, "merged_train")
+    counts = value_counts(df, "load_id", [c for c in df.columns if c not in ("load_id", "loaded_at")])
+    known = value_counts(df, "load_id", [b.column for b in usual])
+    moved = load_drift(counts, "load_id", every_group=True).join(baseline_drift(profile(known, "load_id", usual), "load_id"), ["load_id", "column_name"], "full")
+    rounded = [F.round(c, 6).alias(c) for c in ("psi_before", "chi2_before", "psi_baseline")]
+    return moved.select("load_id", "column_name", F.col("prev").alias("load_before"), F.col("all").alias("n_values"), F.col("prev_all").alias("n_values_before"), "n_bins", *rounded)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of a load in a column of column_baseline."""
     usual = _usual(spark, sf_dir)
@@ -40,7 +51,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(profile(counts, "load_id", usual), "load_id", usual, null_off=0.1503, drift_off=0.2003)
 
 
-QUERIES = {"p6_profile": p6_profile, "p6_drift": p6_drift, "p6_found": p6_found}
+QUERIES = {"p6_profile": p6_profile, "p6_drift": p6_drift, "p6_drift_all": p6_drift_all, "p6_found": p6_found}
 
 
 def _long(numbers: list[str], texts: list[str]) -> str:
@@ -78,4 +89,14 @@ ORACLE = {
       q AS (SELECT load_id, column_name, greatest(n_le_p10 / n_values, 1e-6) AS a, greatest((n_le_p50 - n_le_p10) / n_values, 1e-6) AS c, greatest((n_le_p90 - n_le_p50) / n_values, 1e-6) AS f, greatest((n_values - n_le_p90) / n_values, 1e-6) AS g FROM prof WHERE n_le_p10 IS NOT NULL AND n_values > 0),
       r AS (SELECT load_id, column_name, round((a - 0.1) * ln(a / 0.1) + (c - 0.4) * ln(c / 0.4) + (f - 0.4) * ln(f / 0.4) + (g - 0.1) * ln(g / 0.1), 6) AS psi_baseline FROM q)
       SELECT load_id, column_name, n_bins, psi_before, chi2_before, psi_baseline FROM d FULL JOIN r USING (load_id, column_name)""",
+    "p6_drift_all": f"""{_long(NUMBERS, TEXTS)}, bins AS (SELECT load_id, column_name, CASE WHEN num IS NOT NULL THEN {_PLACE} ELSE '=' || txt END AS bin, count(*) AS n
+        FROM long WHERE num IS NOT NULL OR txt IS NOT NULL GROUP BY ALL),
+      tot AS (SELECT load_id, column_name, n_values AS s, lag(load_id) OVER (PARTITION BY column_name ORDER BY load_id) AS prev, lag(n_values) OVER (PARTITION BY column_name ORDER BY load_id) AS ps FROM prof),
+      pair AS (SELECT t.load_id, t.column_name, x.bin, any_value(t.prev) AS prev, any_value(t.s) AS s, any_value(t.ps) AS ps, sum(CASE WHEN x.load_id = t.load_id THEN n ELSE 0 END) AS n, sum(CASE WHEN x.load_id = t.prev THEN n ELSE 0 END) AS was
+        FROM tot t LEFT JOIN bins x ON x.column_name = t.column_name AND x.load_id IN (t.load_id, t.prev) WHERE t.prev IS NOT NULL GROUP BY 1, 2, 3),
+      sh AS (SELECT *, greatest(coalesce(n / nullif(s, 0), 0), 1e-6) AS a, greatest(coalesce(was / nullif(ps, 0), 0), 1e-6) AS e FROM pair),
+      d AS (SELECT load_id, column_name, any_value(prev) AS load_before, any_value(s) AS n_values, any_value(ps) AS n_values_before, count(bin) AS n_bins, round(sum((a - e) * ln(a / e)), 6) AS psi_before, round(sum((a - e) * (a - e) / e * s), 6) AS chi2_before FROM sh GROUP BY 1, 2),
+      q AS (SELECT load_id, column_name, greatest(n_le_p10 / n_values, 1e-6) AS a, greatest((n_le_p50 - n_le_p10) / n_values, 1e-6) AS c, greatest((n_le_p90 - n_le_p50) / n_values, 1e-6) AS f, greatest((n_values - n_le_p90) / n_values, 1e-6) AS g FROM prof WHERE n_le_p10 IS NOT NULL AND n_values > 0),
+      r AS (SELECT load_id, column_name, round((a - 0.1) * ln(a / 0.1) + (c - 0.4) * ln(c / 0.4) + (f - 0.4) * ln(f / 0.4) + (g - 0.1) * ln(g / 0.1), 6) AS psi_baseline FROM q)
+      SELECT load_id, column_name, load_before, n_values, n_values_before, n_bins, psi_before, chi2_before, psi_baseline FROM d FULL JOIN r USING (load_id, column_name)""",
 }

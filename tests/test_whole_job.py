@@ -105,3 +105,24 @@ def test_label_features_with_communities_keep_groups_of_25(spark, folder):
     got = entry.queries()["q_l5_louvain"](spark, folder)
     # the first 25 rows share a card; up to day 118 they are training rows
     assert got.where("tx = 0").first().graph_nb_labeled_count >= 24
+
+
+def test_drift_of_every_column_against_the_load_before(spark, data, tmp_path):
+    from sedimenta.operators.quality import load_drift, value_counts
+
+    loads = data.assign(load_id=[i % 4 for i in range(N)])
+    loads.loc[loads.load_id == 1, "D1"] = math.nan
+    loads.loc[loads.load_id.isin([2, 3]), "DeviceInfo"] = None
+    loads.loc[loads.load_id == 3, "card1"] += 100_000
+    loads.to_parquet(tmp_path / "merged_train.parquet", index=False, coerce_timestamps="us")
+    nan = math.nan
+    usual = [("TransactionAmt", 0.0, 0.0, 100.0, 9.0, 45.0, 81.0, None), ("D1", 0.0, 0.0, 3.0, 0.0, 1.0, 2.0, None), ("DeviceInfo", 0.5, nan, nan, nan, nan, nan, "d[0-9]+")]
+    pd.DataFrame(usual, columns=["column_name", "null_share", "min_value", "max_value", "p10", "p50", "p90", "pattern"]).to_parquet(tmp_path / "column_baseline.parquet", index=False)
+    got = {(r.load_id, r.column_name): r for r in entry.queries()["p6_drift_all"](spark, str(tmp_path)).collect()}
+    assert {c for _, c in got} == set(data.columns) - {"load_id", "loaded_at"} and all(r.load_before == r.load_id - 1 for r in got.values() if r.load_id)
+    assert got[3, "card1"].psi_before > 10 > 0.1 > got[2, "card1"].psi_before
+    assert got[1, "D1"].n_values == 0 < got[1, "D1"].psi_before and got[2, "D1"].n_values_before == 0 < got[2, "D1"].psi_before and got[3, "D1"].psi_before < 0.1
+    assert (got[3, "DeviceInfo"].n_bins, got[3, "DeviceInfo"].psi_before, got[3, "DeviceInfo"].chi2_before) == (0, 0.0, 0.0)
+    # as the SQL of p6_drift has it, a load without values is passed over
+    old = {(r.load_id, r.prev) for r in load_drift(value_counts(spark.read.parquet(str(tmp_path / "merged_train.parquet")), "load_id", ["D1"]), "load_id").collect()}
+    assert old == {(2, 0), (3, 2)}
