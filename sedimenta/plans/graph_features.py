@@ -106,11 +106,17 @@ def q_a14_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_g2_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three rounds, as the SQL has them."""
+    """Three rounds, as the SQL has them; not converged."""
     ranks = I.pagerank(*_edges(spark, sf_dir, CAP), rounds=3, tolerance=0.0)
     return ranks.select("tx", F.round(F.col("rank") * 1e6, 6).alias("rank_millionths"))
 
 
+def q_g2_pagerank_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds until the ranks move less than 1e-8, 50 at most, as in the reference."""
+    ranks = I.pagerank(*_edges(spark, sf_dir, CAP))
+    return ranks.select("tx", F.round(F.col("rank") * 1e6, 6).alias("rank_millionths"))
+
+
 def q_g3_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over nodes with 20 transactions at most."""
     return I.component_sizes(*_edges(spark, sf_dir, LOW_CAP))

@@ -3,6 +3,7 @@
 import math
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -126,3 +127,18 @@ def test_drift_of_every_column_against_the_load_before(spark, data, tmp_path):
     # as the SQL of p6_drift has it, a load without values is passed over
     old = {(r.load_id, r.prev) for r in load_drift(value_counts(spark.read.parquet(str(tmp_path / "merged_train.parquet")), "load_id", ["D1"]), "load_id").collect()}
     assert old == {(2, 0), (3, 2)}
+
+
+def test_pagerank_converges(spark, folder, nodes_of):
+    tx = np.array([i for i, nodes in enumerate(nodes_of) for _ in nodes])
+    node, _ = pd.factorize(np.array([n for nodes in nodes_of for n in nodes], dtype=object))
+    own, degree = np.bincount(tx, minlength=N), np.bincount(node)
+    ranks, steps = [np.full(N, 1 / N)], []
+    while len(steps) < 50 and (not steps or steps[-1] >= 1e-8):
+        to_node = np.bincount(node, weights=ranks[-1][tx] / own[tx]) / degree
+        new = 0.15 / N + 0.85 * np.bincount(tx, weights=to_node[node], minlength=N)
+        ranks.append(new + (1 - new.sum()) / N)
+        steps.append(np.abs(ranks[-1] - ranks[-2]).sum())
+    got = {r.tx: r.rank_millionths for r in entry.queries()["q_g2_pagerank_converged"](spark, folder).collect()}
+    assert len(steps) > 3 and np.allclose([got[i] for i in range(N)], ranks[-1] * 1e6, rtol=0, atol=2e-6)
+    assert np.abs(ranks[3] - ranks[-1]).max() * 1e6 > 1e-3  # what three rounds lack
