@@ -191,11 +191,16 @@ def q_l5_features_5000(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_l5_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six label features with communities found in the graph."""
+    return rounded(_louvain_features(spark, sf_dir))
+
+
+def _louvain_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, _ = _edges(spark, sf_dir, CAP)
     first = F.min_by("community", F.array_position(F.array(*[F.lit(c) for c in NODES]), F.col("node_col")))
-    groups = _values(spark, sf_dir).select("tx").join(e.join(_communities(e), G.NODE).groupBy("tx").agg(first.alias("community")), "tx", "left")
+    values = _values(spark, sf_dir)
+    groups = values.select("tx").join(e.join(_communities(e), G.NODE).groupBy("tx").agg(first.alias("community")), "tx", "left")
     clients = _clients(spark, sf_dir).select(F.col("TransactionID").alias("tx"), "client")
-    return rounded(L.label_features(e, _values(spark, sf_dir), groups, clients))
+    return L.label_features(e, values, groups, clients)
 
 
 def q_l6_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,10 +212,19 @@ def q_l6_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_a22_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank correlation of label features with two stored counters, on training rows."""
-    f = _label_features(spark, sf_dir, LOW_CAP)
-    df = split_tx(spark, sf_dir, "C1", "C13").where("split = 'train'").withColumnRenamed("TransactionID", "tx").join(f, "tx")
-    pairs = [(t, c) for t in ("graph_nb_fraud_rate_1hop", "uid_fraud_rate") for c in ("C1", "C13")]
+    """Rank correlation of two label features with two stored counters, on training rows; neighbours over nodes with 20 transactions at most."""
+    return _correlated(spark, sf_dir, _label_features(spark, sf_dir, LOW_CAP), ["graph_nb_fraud_rate_1hop", "uid_fraud_rate"], ["C1", "C13"])
+
+
+def q_a22_spearman_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation of every rate among the label features with every stored counter, on training rows."""
+    rates = ["graph_nb_fraud_rate_1hop", "graph_nb_fraud_rate_2hop", "graph_community_fraud_rate", "uid_fraud_rate"]
+    return _correlated(spark, sf_dir, cut_lineage(_louvain_features(spark, sf_dir)), rates, ["C1", "C2", "C5", "C13", "C14"])
+
+
+def _correlated(spark: SparkSession, sf_dir: str, f: DataFrame, rates: list[str], counters: list[str]) -> DataFrame:
+    df = split_tx(spark, sf_dir, *counters).where("split = 'train'").withColumnRenamed("TransactionID", "tx").join(f, "tx")
+    pairs = [(t, c) for t in rates for c in counters]
     parts = [x for t, c in pairs for x in (F.lit(f"{t}~{c}"), F.round(t, 9), F.col(c))]
     long = df.select(F.stack(F.lit(len(pairs)), *parts).alias("pair", "x", "y"))
     made = spearman(long, "pair", "x", "y")

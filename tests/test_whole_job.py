@@ -142,3 +142,17 @@ def test_pagerank_converges(spark, folder, nodes_of):
     got = {r.tx: r.rank_millionths for r in entry.queries()["q_g2_pagerank_converged"](spark, folder).collect()}
     assert len(steps) > 3 and np.allclose([got[i] for i in range(N)], ranks[-1] * 1e6, rtol=0, atol=2e-6)
     assert np.abs(ranks[3] - ranks[-1]).max() * 1e6 > 1e-3  # what three rounds lack
+
+
+def test_rank_correlations_of_all_rates_and_counters(spark, data, folder):
+    from sedimenta.plans.graph_features import _louvain_features
+
+    f = pd.DataFrame([r.asDict() for r in _louvain_features(spark, folder).collect()]).set_index("tx").sort_index().round(9)
+    train = data.index[(data.TransactionDT - 86400) // 86400 <= 118]
+    rates = [c for c in f.columns if "fraud_rate" in c]
+    got = {(r.level3_feature, r.c_feature): r.spearman for r in entry.queries()["q_a22_spearman_all"](spark, folder).collect()}
+    assert len(rates) == 4 and set(got) == {(t, c) for t in rates for c in ("C1", "C2", "C5", "C13", "C14")}
+    for (t, c), r in got.items():
+        if f[t][train].nunique() > 1:  # a constant has no correlation
+            assert r == pytest.approx(f[t][train].rank().corr(data[c][train].rank()), abs=1e-5)
+    assert sum(f[t][train].nunique() > 1 for t in rates) >= 3
