@@ -101,8 +101,12 @@ def q_p13_client(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_a14_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_activity(spark, sf_dir), 9)
+
+
+def _activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _clients(spark, sf_dir, "TransactionAmt", "DeviceInfo")
-    return rounded(G.client_activity(df, "TransactionID", "client", "TransactionAmt", "tx_day", "DeviceInfo"), 9)
+    return G.client_activity(df, "TransactionID", "client", "TransactionAmt", "tx_day", "DeviceInfo")
 
 
 def q_g2_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +132,10 @@ def q_g3_components_5000(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_g5_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest core number among each transaction's attributes."""
-    e, keys = _edges(spark, sf_dir, CAP)
+    return _cores(*_edges(spark, sf_dir, CAP))
+
+
+def _cores(e: DataFrame, keys: DataFrame) -> DataFrame:
     cores = I.core_numbers(G.project_attributes(e))
     nodes = e.select(*G.NODE).distinct().withColumn("node", F.concat_ws("=", *G.NODE)).join(cores, "node", "left").select(*G.NODE, F.coalesce("core", F.lit(0)).alias("graph_max_kcore"))
     return G.largest_of_attributes(e, keys, nodes, ["graph_max_kcore"])
@@ -144,6 +151,12 @@ def q_g4_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.largest_of_attributes(e, keys, sized, ["graph_community_size"]).join(e.join(sized, G.NODE).groupBy("tx").agg(first.alias("community")), "tx", "left")
 
 
+def _community_sizes(e: DataFrame, keys: DataFrame) -> DataFrame:
+    nodes = cut_lineage(_communities(e))
+    sizes = nodes.groupBy("community").agg(F.count("*").alias("graph_community_size"))
+    return G.largest_of_attributes(e, keys, nodes.join(sizes, "community"), ["graph_community_size"])
+
+
 def _communities(e: DataFrame) -> DataFrame:
     found = cut_lineage(I.louvain(G.project_attributes(e)))
     named = e.select(*G.NODE).distinct().withColumn("node", F.concat_ws("=", *G.NODE))
@@ -204,11 +217,19 @@ def _louvain_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_l6_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structural features together: degrees and entropy of all nodes, counts and components of capped ones."""
+    """Structural features together: degrees, cross-cardinality and entropy of all nodes; counts, PageRank, components, communities and cores of capped ones; client activity."""
     e, keys = _edges(spark, sf_dir)
     capped = cut_lineage(G.cap_degrees(e, CAP))
-    out = G.attribute_entropy(e, keys).join(G.neighbour_counts(capped, keys), "tx").join(I.component_sizes(capped, keys), "tx")
-    return rounded(out)
+    named = lambda df: df.withColumnRenamed("TransactionID", "tx")
+    parts = [
+        named(q_a9_degree(spark, sf_dir)), named(q_a10_cross(spark, sf_dir)), G.neighbour_counts(capped, keys), G.attribute_entropy(e, keys),
+        I.pagerank(capped, keys).withColumnRenamed("rank", "graph_pagerank"), I.component_sizes(capped, keys),
+        _community_sizes(capped, keys), _cores(capped, keys), named(_activity(spark, sf_dir)),
+    ]
+    out = keys
+    for part in parts:
+        out = out.join(part, "tx")
+    return out
 
 
 def q_a22_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:

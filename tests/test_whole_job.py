@@ -156,3 +156,17 @@ def test_rank_correlations_of_all_rates_and_counters(spark, data, folder):
         if f[t][train].nunique() > 1:  # a constant has no correlation
             assert r == pytest.approx(f[t][train].rank().corr(data[c][train].rank()), abs=1e-5)
     assert sum(f[t][train].nunique() > 1 for t in rates) >= 3
+
+
+def test_structure_has_every_part(spark, folder):
+    q = entry.queries()
+    got = q["q_l6_structure"](spark, folder).cache()
+    assert got.count() == N == got.select("tx").distinct().count()
+    ours = {r.tx: r for r in got.collect()}
+    for name, columns in (("q_a9_degree", None), ("q_a10_cross", None), ("q_a14_activity", None), ("q_g5_cores", ["graph_max_kcore"]), ("q_g4_communities", ["graph_community_size"]), ("q_a12_entropy", None)):
+        part = q[name](spark, folder)
+        for r in part.collect():
+            mine = ours[r[part.columns[0]]]
+            for c in columns or part.columns[1:]:
+                assert mine[c] == r[c] or mine[c] == pytest.approx(r[c], abs=1e-6), (name, c)
+    assert sum(r.graph_pagerank for r in ours.values()) == pytest.approx(1, abs=1e-5)
