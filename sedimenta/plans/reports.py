@@ -114,9 +114,9 @@ def q_m1_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_m3_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calibration on the validation period for two weights of positives."""
+    """Calibration on the validation period for three weights of positives."""
     out = None
-    for w in (1.0, 5.0):
+    for w in (1.0, 5.0, 27.6):
         df, model = _models(spark, sf_dir, w)
         one = calibration_summary(X.predict(model, df.where("split = 'val'"), FEATURES), "isFraud", "p").withColumn("positive_weight", F.lit(w))
         out = one if out is None else out.unionByName(one)

@@ -1,6 +1,7 @@
 """Queries over a table with groups of 25 rows and one of 5001, against brute force in Python."""
 
 import math
+import os
 from itertools import combinations
 
 import numpy as np
@@ -170,3 +171,8 @@ def test_structure_has_every_part(spark, folder):
             for c in columns or part.columns[1:]:
                 assert mine[c] == r[c] or mine[c] == pytest.approx(r[c], abs=1e-6), (name, c)
     assert sum(r.graph_pagerank for r in ours.values()) == pytest.approx(1, abs=1e-5)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+def test_all_weights_of_positives(spark):
+    assert {r.positive_weight for r in entry.queries()["q_m3_weights"](spark, "/root/testdata/sf0.001").collect()} == {1.0, 5.0, 27.6}
