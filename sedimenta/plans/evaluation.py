@@ -15,7 +15,7 @@ from sedimenta.operators import metrics as M
 from sedimenta.operators import quantiles as Q
 from sedimenta.operators import scorecard as S
 from sedimenta.operators import stability as B
-from sedimenta.plans.tabular import SPLIT_SQL, rounded, split_tx
+from sedimenta.plans.tabular import SPLIT_SQL, rounded, split_tx, stored_columns
 from sedimenta.plans.transactions import TX_SQL
 from sedimenta.session import cut_lineage
 
@@ -82,6 +82,12 @@ def q_e11_csi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(B.characteristic_stability(split_tx(spark, sf_dir, *CSI), "split", "train", "test", CSI), 5)
 
 
+def q_e11_csi_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over every stored number but the label."""
+    features = [c for c in stored_columns(spark, sf_dir, numbers_only=True) if c != "isFraud"]
+    return rounded(B.characteristic_stability(split_tx(spark, sf_dir, *features), "split", "train", "test", features), 5)
+
+
 def q_e12_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(C.calibration_summary(scored(spark, sf_dir), "isFraud", "p"))
 

@@ -13,7 +13,7 @@ from sedimenta.operators import metrics as M
 from sedimenta.operators import reporting as R
 from sedimenta.operators.calibration import calibration_summary
 from sedimenta.operators.relational import select_features
-from sedimenta.plans.tabular import _TEXT, SPLIT_SQL, rounded, split_tx, tx
+from sedimenta.plans.tabular import _TEXT, SPLIT_SQL, rounded, split_tx, stored_columns, tx
 from sedimenta.plans.transactions import TX_SQL
 from sedimenta.session import checkpoint_dir, cut_lineage
 from sedimenta.sources.tables import read_csv, table
@@ -82,9 +82,18 @@ def q_o5_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_d1_missing_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing share of columns in the training and the test period."""
-    df = split_tx(spark, sf_dir, *DRIFT)
-    parts = [x for c in DRIFT for x in (F.lit(c), F.col(c).isNull().cast("int"))]
-    long = df.where("split in ('train', 'test')").select("split", F.stack(F.lit(len(DRIFT)), *parts).alias("column_name", "gone"))
+    return _missing_drift(spark, sf_dir, DRIFT)
+
+
+def q_d1_missing_drift_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over every stored column."""
+    return _missing_drift(spark, sf_dir, stored_columns(spark, sf_dir))
+
+
+def _missing_drift(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    df = split_tx(spark, sf_dir, *columns)
+    parts = [x for c in columns for x in (F.lit(c), F.col(c).isNull().cast("int"))]
+    long = df.where("split in ('train', 'test')").select("split", F.stack(F.lit(len(columns)), *parts).alias("column_name", "gone"))
     train, test = (F.avg(F.when(F.col("split") == s, F.col("gone"))) for s in ("train", "test"))
     return rounded(long.groupBy("column_name").agg(train.alias("train"), test.alias("test"), (test - train).alias("change")))
 

@@ -117,6 +117,18 @@ def q_a5_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.missing_pattern_groups(tx(spark, sf_dir, *NULLABLE), NULLABLE, "TransactionID")
 
 
+def stored_columns(spark: SparkSession, sf_dir: str, numbers_only: bool = False) -> list[str]:
+    """Columns of merged_train but the key, the time that splits it and the load's own two."""
+    kinds = dict(table(spark, sf_dir, "merged_train").dtypes)
+    return [c for c, k in kinds.items() if c not in ("TransactionID", "TransactionDT", "load_id", "loaded_at") and not (numbers_only and k == "string")]
+
+
+def q_a5_missing_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over every stored column."""
+    columns = stored_columns(spark, sf_dir)
+    return P.missing_pattern_groups(tx(spark, sf_dir, *columns), columns, "TransactionID")
+
+
 def q_a7_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = split_tx(spark, sf_dir, "card1", "DeviceInfo")
     for c in ("card1", "DeviceInfo"):
