@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.sources.tables import bounded
+
 
 @dataclass(frozen=True)
 class Share:
@@ -56,11 +58,11 @@ def sample_mix(counted: DataFrame, doc_id: str, source: str, plan: Sequence[Shar
 
     Every document of a source occurs the whole part of its repeats; the
     fraction is a seeded draw per document by hash, the same each time and on
-    any number of executors. No shuffle. Documents of other sources, and those
+    any number of executors. No shuffle, unless there are more than 20,000 sources. Documents of other sources, and those
     that occur 0 times, have no row.
     """
     rows = [(p.source, int(p.repeats), p.repeats - int(p.repeats)) for p in plan]
     side = counted.sparkSession.createDataFrame(rows, f"`{source}` string, __whole int, __part double")
     draw = F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    joined = counted.join(F.broadcast(side), source).withColumn("repeats", F.col("__whole") + (draw < F.col("__part")).cast("int"))
+    joined = counted.join(bounded(side), source).withColumn("repeats", F.col("__whole") + (draw < F.col("__part")).cast("int"))
     return joined.where("repeats > 0").drop("__whole", "__part")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions import domain as D
 from sedimenta.llm.components import components
-from sedimenta.llm.distinct import bits_for, estimates, merge_bitmaps, merge_sets, partial_bitmaps
+from sedimenta.llm.distinct import bits_for, estimates, merge_bitmaps, merge_sets, most_items, partial_bitmaps
 from sedimenta.llm.mixing import Share, sample_mix, water_fill
 from sedimenta.llm.splits import split_records
 from sedimenta.llm.subjects import subject_posteriors, subjects_of
@@ -83,8 +83,9 @@ def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Problem 3
 
 GROUPS = ["tx_day", "DeviceInfo", "ProductCD"]
-#: The stated error: one standard error, relative, for up to MOST_CARDS_A_GROUP distinct cards.
-ERROR, MOST_CARDS_A_GROUP = 0.01, 1_000_000
+SETS = [[g for i, g in enumerate(GROUPS) if k >> i & 1] for k in range(8)]
+#: The stated error: one standard error, relative, for up to MOST_CARDS_A_GROUP distinct cards in one group.
+ERROR, MOST_CARDS_A_GROUP = 0.01, 100_000_000
 BITS = bits_for(ERROR, MOST_CARDS_A_GROUP)
 
 
@@ -100,23 +101,37 @@ def p3_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct cards of each day, DeviceInfo, ProductCD and combination of these, with the error."""
-    sets = [[g for i, g in enumerate(GROUPS) if k >> i & 1] for k in range(8)]
-    return estimates(merge_sets(_bitmaps(spark, sf_dir), sets, GROUPS), ["level", *GROUPS], BITS)
+    made = estimates(merge_sets(_bitmaps(spark, sf_dir), SETS, GROUPS), ["level", *GROUPS], BITS)
+    return made.withColumns({"n_distinct": F.round("n_distinct", 6), "error": F.round("error", 12)})
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Devices that nearly every transaction of a day used another card with: estimated, then counted exactly where the estimate comes near."""
+def _nearly_all(spark: SparkSession, sf_dir: str, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Transactions per product group, and the groups that may have 25 cards and nine tenths as many as rows; ``sure`` if their bitmap proves it."""
     tx = days(latest(spark, sf_dir, "card1", "DeviceInfo", "ProductCD", "TransactionDT")).where(F.col("DeviceInfo").isNotNull())
-    words = partial_bitmaps(tx, ["DeviceInfo", "ProductCD", "tx_day"], "card1", BITS)
+    words = partial_bitmaps(tx, ["DeviceInfo", "ProductCD", "tx_day"], "card1", bits)
     group = F.explode(F.array_compact(F.array(F.lit("all"), F.col("ProductCD")))).alias("product_group")
     keys = ["DeviceInfo", "product_group", "tx_day"]
-    merged = words.select("DeviceInfo", group, "tx_day", "word", "bits", "n")
-    near = F.col("n_distinct") * 1.25 + 3  # over 8 standard errors at these sizes
-    likely = estimates(merge_bitmaps(merged, keys), keys, BITS).where((F.col("n_rows") >= 25) & (near >= 25) & (10 * near >= 9 * F.col("n_rows"))).select(*keys)
-    rows = tx.select("DeviceInfo", group, "tx_day", "card1")
-    exact = rows.join(bounded(cut_lineage(likely), 100_000), keys).groupBy(*keys, "card1").agg(F.count("*").alias("n"))
+    merged = merge_bitmaps(words.select("DeviceInfo", group, "tx_day", "word", "bits", "n"), keys)
+    enough = lambda cards: (cards >= 25) & (10 * cards >= 9 * F.col("n_rows"))
+    known = estimates(merged, keys, bits).withColumns({"sure": enough(F.col("bits_set")), "may": enough(most_items(bits))})
+    return tx.select("DeviceInfo", group, "tx_day", "card1"), cut_lineage(known.where("may").select(*keys, "sure"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str, bits: int = BITS) -> DataFrame:
+    """Devices that nearly every transaction of a day used another card with.
+
+    The bitmaps decide every group whose bits prove the case and every group
+    whose upper bound falls short of it; only groups between these bounds, and
+    full bitmaps, are counted again.
+    """
+    rows, near = _nearly_all(spark, sf_dir, bits)
+    keys = ["DeviceInfo", "product_group", "tx_day"]
+    proven, between = near.where("sure").select(*keys), near.where("not sure").select(*keys)
+    if between.isEmpty():
+        return proven
+    exact = rows.join(bounded(between, 100_000), keys).groupBy(*keys, "card1").agg(F.count("*").alias("n"))
     counts = exact.groupBy(*keys).agg(F.count("card1").alias("cards"), F.sum("n").alias("n"))
-    return counts.where("cards >= 25 and 10 * cards >= 9 * n").select(*keys)
+    return proven.unionByName(counts.where("cards >= 25 and 10 * cards >= 9 * n").select(*keys))
 
 
 # Problem 7
@@ -197,7 +212,18 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (p1_found, p1_splits, p1_shares, p3_found, p3_partials, p3_distinct, p7_ids, p7_round_trip, p8_found, p8_mix, p8_shares, p9_found, p9_posteriors, p9_composition)}
 
+_BITMAP = f"""WITH {TX_SQL}, h AS (SELECT *, CAST('0x' || substr(md5(CAST(card1 AS VARCHAR)), 1, 15) AS BIGINT) % {BITS} AS place FROM tx),
+  w AS (SELECT *, place // 64 AS word, CASE WHEN place % 64 = 63 THEN -9223372036854775808 ELSE 1::BIGINT << (place % 64)::INTEGER END AS bit FROM h)"""
+_LEVELS = " UNION ALL ".join(
+    f"SELECT '{'+'.join(s) or 'all'}' AS level, {', '.join(g if g in s else f'CAST(NULL AS {k}) AS {g}' for g, k in zip(GROUPS, ('BIGINT', 'VARCHAR', 'VARCHAR')))}, count(*) AS n_rows, count(DISTINCT place) AS bits_set FROM w GROUP BY ALL" for s in SETS
+)
 ORACLE = {
+    "p1_shares": f"""WITH {TX_SQL}, t AS (SELECT count(*) AS every FROM tx), r AS (SELECT *, row_number() OVER (ORDER BY target_share DESC, split_name DESC) AS place FROM split_targets),
+      w AS (SELECT *, CASE WHEN place > 1 THEN CAST(round_even(every * target_share / sum(target_share) OVER (), 0) AS BIGINT) END AS want FROM r, t),
+      c AS (SELECT *, CAST(coalesce(want, every - sum(want) OVER ()) AS BIGINT) AS n FROM w) SELECT split_name, target_share, n, n / every::DOUBLE AS share FROM c""",
+    "p3_partials": f"{_BITMAP} SELECT load_id, tx_day, DeviceInfo, ProductCD, word, bit_or(bit) AS bits, count(*) AS n FROM w GROUP BY ALL",
+    "p3_distinct": f"""{_BITMAP}, l AS ({_LEVELS}), e AS (SELECT *, -{BITS} * ln(greatest({BITS} - bits_set, 1) / {BITS}::DOUBLE) + 0.0 AS d FROM l)
+      SELECT level, tx_day, DeviceInfo, ProductCD, n_rows, bits_set, round(d, 6) AS n_distinct, CASE WHEN bits_set < {BITS} AND d > 0 THEN round(sqrt(greatest(exp(d / {BITS}) - d / {BITS} - 1, 0)) / (d / {BITS} * sqrt({BITS})), 12) END AS error FROM e""",
     "p1_found": f"""WITH RECURSIVE {TX_SQL}, e AS (SELECT old_card1 AS a, new_card1 AS b FROM card_reissues WHERE old_card1 IS NOT NULL AND new_card1 IS NOT NULL
         UNION SELECT new_card1, old_card1 FROM card_reissues WHERE old_card1 IS NOT NULL AND new_card1 IS NOT NULL),
       reach AS (SELECT a AS node, a AS low FROM e UNION SELECT e.b, reach.low FROM reach JOIN e ON e.a = reach.node),

@@ -2,52 +2,136 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from sedimenta.operators.skew import skew_join
 
-#: Bits of the widest subset-sum bitset; a wider rest is first brought down by whole groups.
-MOST_BITS = 1 << 22
+#: Widest target, in common parts of the sizes, that one bitset takes; and the cells of the coarser search beyond it.
+MOST_BITS, CELLS = 1 << 22, 1 << 20
 
 
 def closest_subset(sizes: dict[int, int], target: int) -> dict[int, int]:
     """How many groups of each size to take so that the total is as near ``target`` as a subset can be.
 
-    ``sizes`` has multiplicities. Subset sums are bits of one integer;
-    multiplicities enter in powers of two. A target beyond ``MOST_BITS`` is
-    first lowered by the largest groups that fit, and exact from there on.
+    ``sizes`` has multiplicities. All is counted in the sizes' greatest common
+    divisor. A target of up to ``MOST_BITS`` such parts is met by a subset-sum
+    bitset, exactly. A wider one is searched with one total kept in each of
+    ``CELLS`` cells up to twice the target: exact until two totals fall into
+    one cell, and then off by a cell for each different size used at most. If
+    that misses, single groups are exchanged as long as it comes nearer, and
+    the smallest groups, kept back for it, fill by a bitset what is left; the
+    nearer of both results is taken.
     """
-    taken: dict[int, int] = {}
-    left = dict(sizes)
-    for size in sorted(left, reverse=True):
-        if target <= MOST_BITS:
+    left = {s: n for s, n in sizes.items() if s > 0 and n > 0}
+    if not left or target <= 0:
+        return {}
+    part = math.gcd(*left)
+    left, goal = {s // part: n for s, n in left.items()}, target / part
+    total = lambda taken: sum(s * k for s, k in taken.items())
+    if goal <= MOST_BITS:
+        taken = _by_bitset(left, goal)
+    else:
+        taken = _by_cells(left, goal)
+        if total(taken) != goal:
+            small, room = {}, MOST_BITS
+            for s in sorted(left):
+                small[s] = min(left[s], room // s)
+                room -= small[s] * s
+            large = {s: n - small[s] for s, n in left.items()}
+            middle = goal - total(small) / 2
+            other = _exchange(large, _by_cells(large, middle), middle)
+            rest = _by_bitset(small, goal - total(other))
+            other = {s: other.get(s, 0) + rest.get(s, 0) for s in left}
+            taken = min(taken, other, key=lambda t: abs(total(t) - goal))
+    return {s * part: k for s, k in taken.items() if k}
+
+
+def _chunks(sizes: dict[int, int], most: float, largest_first: bool = False) -> list[tuple[int, int]]:
+    """(size, groups of it to take or leave together): multiplicities in powers of two."""
+    out = []
+    for size in sorted(sizes, reverse=largest_first):
+        n, chunk = min(sizes[size], int(most // size)), 1
+        while n > 0:
+            out.append((size, min(chunk, n)))
+            n, chunk = n - chunk, chunk * 2
+    return out
+
+
+def _by_bitset(sizes: dict[int, int], target: float) -> dict[int, int]:
+    """Exact: a bit of one integer for each total, and of each total the step that reached it first."""
+    if target <= 0:
+        return {}
+    goal = int(target)
+    width = 2 * goal + 2
+    steps, reach, mask = _chunks(sizes, width), 1, (1 << width) - 1
+    first = np.zeros(-(-width // 8) * 8, dtype=np.int32)
+    for i, (size, k) in enumerate(steps):
+        if reach >> goal & 1 and goal == target:
+            break
+        fresh = (reach << (size * k)) & mask & ~reach
+        if fresh:
+            reach |= fresh
+            data = np.frombuffer(fresh.to_bytes(len(first) // 8, "little"), dtype=np.uint8)
+            full = np.flatnonzero(data)
+            byte, bit = np.nonzero(np.unpackbits(data[full][:, None], axis=1, bitorder="little"))
+            first[full[byte] * 8 + bit] = i
+    low = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    above = reach >> (goal + 1)
+    high = goal + (above & -above).bit_length() if above else None
+    return _walk(steps, high if high is not None and high - target < target - low else low, lambda total: first[total])
+
+
+def _by_cells(sizes: dict[int, int], target: float) -> dict[int, int]:
+    """The nearest of the totals reached; the first one in each cell is kept."""
+    width = 2 * int(target) + 2
+    cell = -(-width // CELLS)
+    steps = _chunks(sizes, width, largest_first=True)
+    totals, first = np.full(-(-width // cell), -1, dtype=np.int64), np.zeros(-(-width // cell), dtype=np.int32)
+    totals[0] = 0
+    kept = totals[:1]
+    for i, (size, k) in enumerate(steps):
+        if (kept == target).any():
             break
-        k = min(left[size], target // size)
-        taken[size], left[size], target = k, left[size] - k, target - k * size
-    target = max(0, target)
-    reach, steps, mask = 1, [], (1 << (2 * target + 1)) - 1
-    for size in sorted(left):
-        most, chunk = min(left[size], 2 * target // size if size else 0), 1
-        while most > 0 and not reach >> target & 1:
-            k = min(chunk, most)
-            steps.append((reach, size, k))
-            reach = (reach | reach << (size * k)) & mask
-            most, chunk = most - k, chunk * 2
-        if reach >> target & 1:
+        fresh = kept + size * k
+        fresh = fresh[fresh < width]
+        cells, at = np.unique(fresh // cell, return_index=True)
+        empty = totals[cells] < 0
+        if empty.any():
+            totals[cells[empty]], first[cells[empty]] = fresh[at[empty]], i
+            kept = totals[totals >= 0]
+    return _walk(steps, int(kept[np.argmin(np.abs(kept - target))]), lambda total: first[total // cell])
+
+
+def _exchange(sizes: dict[int, int], taken: dict[int, int], target: float, most: int = 100) -> dict[int, int]:
+    """Takes one group, leaves one, or both, as long as the total comes nearer to ``target``."""
+    taken = dict(taken)
+    for _ in range(most):
+        short = target - sum(s * k for s, k in taken.items())
+        free = np.array([0, *sorted(s for s, n in sizes.items() if n > taken.get(s, 0))])
+        held = np.array([0, *(s for s, k in taken.items() if k)])
+        at = np.searchsorted(free, held + short)
+        pairs = [(abs(float(f) - h - short), int(f), int(h)) for i in (at - 1, at) for f, h in zip(free[np.clip(i, 0, len(free) - 1)], held)]
+        off, more, less = min(pairs)
+        if off >= abs(short):
             break
-    low = (reach & ((1 << (target + 1)) - 1)).bit_length() - 1
-    above = reach >> target
-    high = target + (above & -above).bit_length() - 1 if above else None
-    total = high if high is not None and high - target < target - low else low
-    for before, size, k in reversed(steps):
-        if not before >> total & 1:
-            taken[size] = taken.get(size, 0) + k
-            total -= size * k
-    return {s: k for s, k in taken.items() if k}
+        taken[more], taken[less] = taken.get(more, 0) + 1, taken.get(less, 0) - (more != less)
+    return {s: k for s, k in taken.items() if s and k > 0}
+
+
+def _walk(steps: list[tuple[int, int]], total: int, reached_by) -> dict[int, int]:  # noqa: ANN001
+    """Back from a total: the step that first reached it was taken from a total reached earlier."""
+    taken: dict[int, int] = {}
+    while total:
+        size, k = steps[reached_by(total)]
+        taken[size] = taken.get(size, 0) + k
+        total -= size * k
+    return taken
 
 
 def plan_splits(sizes: dict[int, int], shares: Sequence[float]) -> dict[int, list[int]]:

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -67,10 +68,40 @@ def test_closest_subset_equals_brute_force():
         assert abs(sum(s * k for s, k in taken.items()) - target) == min(abs(x - target) for x in sums)
 
 
-def test_closest_subset_of_a_wide_target(monkeypatch):
-    monkeypatch.setattr(splits, "MOST_BITS", 64)
-    taken = splits.closest_subset({1000: 50, 7: 10, 1: 3}, 33_013)
-    assert sum(s * k for s, k in taken.items()) in (33_013, 33_014) or abs(sum(s * k for s, k in taken.items()) - 33_013) <= 1
+def total_of(taken):
+    return sum(s * k for s, k in taken.items())
+
+
+def test_closest_subset_of_wide_targets():
+    assert splits.closest_subset({3_000_000: 1, 2_500_000: 2}, 5_000_000) == {2_500_000: 2}
+    assert splits.closest_subset({3_000_001: 1, 2_500_000: 2}, 5_000_000) == {2_500_000: 2}
+    many = {5 * 10**10: 1, 1: 3 * 10**10, 2: 10**10, 3: 10**9}
+    taken = splits.closest_subset(many, 12_345_678_901)
+    assert total_of(taken) == 12_345_678_901 and all(0 < k <= many[s] for s, k in taken.items())
+    assert splits.closest_subset({0: 5, 4: 0}, 3) == {} and splits.closest_subset({4: 2}, 0) == {}
+
+
+def test_coarse_cells_come_near(monkeypatch):
+    random.seed(6)
+    for bits, cells, most in ((16, 1 << 20, 0), (16, 64, 4)):
+        monkeypatch.setattr(splits, "MOST_BITS", bits)
+        monkeypatch.setattr(splits, "CELLS", cells)
+        for _ in range(200):
+            sizes, target = {random.randint(1, 30): random.randint(1, 3) for _ in range(4)}, random.randint(0, 150)
+            sums = {0}
+            for s, n in sizes.items():
+                sums = {x + s * k for x in sums for k in range(n + 1)}
+            assert abs(total_of(splits.closest_subset(sizes, target)) - target) <= min(abs(x - target) for x in sums) + most
+
+
+@pytest.mark.parametrize("step, target", [(lambda i: 8 * i, 4_000_001), (lambda i: 7 * i + 1, 3_500_001)])
+def test_a_thousand_sizes_need_little_memory(step, target):
+    sizes = {step(i): 2 for i in range(1, 1001)}
+    tracemalloc.start()
+    taken = splits.closest_subset(sizes, target)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000 and abs(total_of(taken) - target) <= (1 if step(1) == 8 else 0)
 
 
 def test_splits_keep_groups_and_meet_targets(spark):
@@ -133,6 +164,15 @@ def test_full_and_empty_bitmaps(spark):
     assert distinct.partial_bitmaps(df.limit(0), ["g"], "x", 64).collect() == []
 
 
+def test_bounds_hold_for_few_and_many_items(spark):
+    bits = 4096
+    data = [(n, n * 100_003 + i) for n in (1, 25, 30, 300, 3000, 12_000) for i in range(n)]
+    df = spark.createDataFrame(data, "g long, x long")
+    est = distinct.estimates(distinct.partial_bitmaps(df, ["g"], "x", bits), ["g"], bits)
+    for r in est.withColumn("high", distinct.most_items(bits)).collect():
+        assert r.bits_set <= r.g <= r.high + 1e-9
+
+
 # tokenizer
 
 TEXTS = [

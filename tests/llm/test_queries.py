@@ -42,6 +42,17 @@ def test_distinct_counts_come_near_exact_ones(spark):
         assert got[day].n_rows == n and abs(got[day].n_distinct - cards) <= 0.5 + 4 * queries.ERROR * cards
 
 
+def test_saturated_bitmaps_lose_no_group(spark, tmp_path):
+    import pandas as pd
+
+    n = 1000  # all cards of a device on a day, and one group far from it
+    card, day = [*range(n), *[1] * 40], pd.Timestamp("2024-01-01")
+    pd.DataFrame({"TransactionID": range(len(card)), "card1": card, "DeviceInfo": ["d"] * n + ["e"] * 40, "ProductCD": ["W"] * n + [None] * 40, "TransactionDT": 86400, "loaded_at": day, "load_id": 0}).to_parquet(tmp_path / "merged_train.parquet", coerce_timestamps="us")
+    for bits in (64, 1024, queries.BITS):
+        got = sorted(map(tuple, queries.p3_found(spark, str(tmp_path), bits).collect()))
+        assert got == [("d", "W", 0), ("d", "all", 0)]
+
+
 def test_ids_counts_and_mix_fit_together(spark):
     ids = {r.doc_id: len(r.ids) for r in queries.p7_ids(spark, SF).collect()}
     trip = queries.p7_round_trip(spark, SF).collect()
