@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import gc
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -20,126 +22,153 @@ FOLDER = "/opt/tokenizers"
 # How the vocabulary's publisher cuts a text before the merges, and the same for texts of ASCII only.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
-#: Most states and remembered pieces of a worker; beyond, all are forgotten and made anew as needed.
+#: A guard of a worker's memory: beyond so many states or remembered pieces they are forgotten and made anew as needed; longer pieces aren't remembered.
 MOST_STATES, MOST_PIECES, LONG_PIECE = 600_000, 300_000, 48
+NEVER = 1 << 62
 
 
 class Transducer:
-    """Byte-level BPE of one piece as a finite-state transducer, determinised while it runs.
-
-    A state is the prefix of a piece. It knows the last token of that prefix's
-    encoding and the state before that token; both are settled when the state
-    is first reached: of the tokens that end the prefix, exactly one can stand
-    after the last token of what is before it, where two tokens can stand side
-    by side if the merges of their joint bytes give just these two. A later
-    byte may replace the last tokens, so they are emitted only at the end of
-    the piece, by going back from its last state. States are shared by all
-    pieces with the same beginning and forgotten all together when there are
-    too many.
+    """Byte-level BPE as a sequential finite-state transducer, determinised while it runs.
+
+    After some bytes of a piece, the final encoding has a border at one of a few
+    places: those after which the bytes read so far begin some longer token, and
+    the place reached. Before a border the encoding is that of the bytes up to
+    it. So a state names, for each such place, where the bytes after it stand in
+    the trie of tokens, the last token before it and the tokens before it that
+    are still open; nothing else can change what follows. Pieces that agree in
+    that share their states however they began, so the states are as many as
+    there are such situations, not as many as prefixes. Tokens that all places
+    have in common can't change any more: they leave with the byte that settles
+    them, before the piece ends, and a piece of any length is read in memory
+    that doesn't grow with it. The last token of the bytes up to a place is the
+    one token that can stand after what is before it; two tokens can stand side
+    by side if the merges of their joint bytes give just these two.
     """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.texts = {i: t for t, i in ranks.items()}
-        endings: dict[bytes, set[int]] = {}
-        for t in ranks:
-            if len(t) > 3:
-                endings.setdefault(t[-4:], set()).add(len(t))
-        self.endings = {end: sorted(n, reverse=True) for end, n in endings.items()}
-        self.fits: dict[tuple[int, int], bool] = {}
+        # trie of all tokens: node << 8 | byte -> node; a node's token, if it is one; whether longer ones go on from it
+        self.trie: dict[int, int] = {}
+        self.token, self.goes_on = [-1], [True]
+        for t, i in ranks.items():
+            node = 0
+            for byte in t:
+                key = node << 8 | byte
+                self.goes_on[node] = True
+                node = self.trie.get(key, 0)
+                if not node:
+                    node = self.trie[key] = len(self.token)
+                    self.token.append(-1)
+                    self.goes_on.append(False)
+            self.token[node] = i
+        self.fits: dict[int, bool] = {}
         self.edges: tuple[dict[int, list], dict[int, list]] = ({}, {})  # no more than the vocabulary has
         self.forget()
 
     def forget(self) -> None:
-        self.next: dict[int, int] = {}
-        self.last, self.before = [-1], [0]
+        """All states go; the first is that of no bytes: one place, nothing before it."""
+        self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.places: list[tuple[tuple[int, int, tuple[int, ...]], ...]] = []
+        self.names: dict[tuple, int] = {}
+        self._name(((0, -1, ()),))
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        """Tokens of one piece; a piece of any length takes time and memory in proportion to it."""
+        """Tokens of one piece."""
         if (whole := self.ranks.get(piece)) is not None:
             return (whole,)
-        if len(piece) > LONG_PIECE:
-            return self._long(piece)
-        if len(self.last) > MOST_STATES:
+        return tuple(chain.from_iterable(self.stream(piece)))
+
+    def stream(self, piece: Iterable[int]) -> Iterator[tuple[int, ...]]:
+        """Tokens of one piece as its bytes settle them; the piece may come byte by byte."""
+        if len(self.places) > MOST_STATES:
             self.forget()
-        step, last, before = self.next, self.last, self.before
-        path, tokens, state = [0], [-1], 0
+        state, step = 0, self.step
         for byte in piece:
-            key = state << 8 | byte
-            state = step.get(key, 0)
-            if not state:
-                token = self._settle(piece, len(path), tokens)
-                state = step[key] = len(last)
-                last.append(token)
-                before.append(path[-len(self.texts[token])])
-            path.append(state)
-            tokens.append(last[state])
-        out = []
-        while state:
-            out.append(last[state])
-            state = before[state]
-        return tuple(reversed(out))
-
-    def _long(self, piece: bytes) -> tuple[int, ...]:
-        """The same states, kept for this piece only."""
-        last = [-1]
-        for end in range(1, len(piece) + 1):
-            last.append(self._settle(piece, end, last))
-        out, end = [], len(piece)
-        while end:
-            out.append(last[end])
-            end -= len(self.texts[last[end]])
-        return tuple(reversed(out))
-
-    def _settle(self, piece: bytes, end: int, last: list[int]) -> int:
-        """The last token of ``piece[:end]``; ``last`` has those of the shorter prefixes. Longer candidates first."""
-        find, fit = self.ranks.get, self._fit
-        if end > 3:
-            for length in self.endings.get(piece[end - 4 : end], ()):
-                if length <= end:
-                    token = find(piece[end - length : end])
-                    if token is not None and (length == end or fit(last[end - length], token)):
-                        return token
-        for length in (3, 2):
-            if length <= end:
-                token = find(piece[end - length : end])
-                if token is not None and (length == end or fit(last[end - length], token)):
-                    return token
-        return self.ranks[piece[end - 1 : end]]
+            edge = step.get(state << 8 | byte)
+            if edge is None:
+                if len(self.places) > 2 * MOST_STATES:  # within one piece: only its own state is kept
+                    places = self.places[state]
+                    self.forget()
+                    state, step = self._name(places), self.step
+                edge = self._edge_of(state, byte)
+            state, settled = edge
+            if settled:
+                yield settled
+        yield self.places[state][-1][2]
+
+    def _name(self, places: tuple) -> int:
+        state = self.names.get(places)
+        if state is None:
+            state = self.names[places] = len(self.places)
+            self.places.append(places)
+        return state
+
+    def _edge_of(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """Where a byte leads from a state, and the tokens it settles."""
+        find, token, goes_on, fits = self.trie.get, self.token, self.goes_on, self.fits
+        here, kept, nothing_shared = None, [], False
+        for node, last, open_ in self.places[state]:  # the earliest place first
+            node = find(node << 8 | byte)
+            if node is None:
+                continue
+            if here is None and (t := token[node]) >= 0:
+                if last < 0 or (fits[last << 32 | t] if last << 32 | t in fits else self._fit(last, t)):
+                    here = (0, t, (*open_, t))
+            if goes_on[node]:
+                kept.append((node, last, open_))
+                if not open_:
+                    nothing_shared = True
+        kept.append(here)
+        settled = ()
+        if not nothing_shared:
+            least, most, n = min(p[2] for p in kept), max(p[2] for p in kept), 0
+            while n < len(least) and n < len(most) and least[n] == most[n]:
+                n += 1
+            if n:
+                settled = least[:n]
+                kept = [(node, last, open_[n:]) for node, last, open_ in kept]
+        kept = tuple(kept)
+        name = self.names.get(kept)
+        edge = self.step[state << 8 | byte] = (self._name(kept) if name is None else name, settled)
+        return edge
 
     def _fit(self, left: int, right: int) -> bool:
-        known = self.fits.get((left, right))
-        if known is None:
-            if len(self.fits) > 2 * MOST_STATES:
-                self.fits.clear()
-            known = self.fits[left, right] = self._apart(self._edge(left, 1), self._edge(right, 0))
+        if len(self.fits) > 2 * MOST_STATES:
+            self.fits.clear()
+        known = self.fits[left << 32 | right] = self._apart(self._edge(left, 1), self._edge(right, 0))
         return known
 
-    def _apart(self, left: list[tuple[bytes, int]], right: list[tuple[bytes, int]]) -> bool:
+    def _apart(self, left: tuple[list[bytes], list[int]], right: tuple[list[bytes], list[int]]) -> bool:
         """Whether no merge joins two tokens: their parts at the border grow in the order of ranks, and at each moment
         the merge over the border must come after the next one within; of equal ranks the one further left comes first.
         """
-        ranks, i, j = self.ranks, 0, 0
+        find, (at_left, next_left), (at_right, next_right) = self.ranks.get, left, right
+        i, j, grown_left, grown_right = 0, 0, next_left[0], next_right[0]
         while True:
-            grown_left = left[i + 1][1] if i + 1 < len(left) else 1 << 62
-            grown_right = right[j + 1][1] if j + 1 < len(right) else 1 << 62
-            over = ranks.get(left[i][0] + right[j][0])
+            over = find(at_left[i] + at_right[j])
             if over is not None and over < grown_left and over <= grown_right:
                 return False
-            if grown_left == grown_right == 1 << 62:
-                return True
             if grown_left <= grown_right:
+                if grown_left == NEVER:
+                    return True
                 i += 1
+                grown_left = next_left[i]
             else:
                 j += 1
+                grown_right = next_right[j]
 
-    def _edge(self, token: int, side: int) -> list[tuple[bytes, int]]:
-        """What stands at one side of a token while it is merged together: a byte, ever longer parts, the token."""
+    def _edge(self, token: int, side: int) -> tuple[list[bytes], list[int]]:
+        """What stands at one side of a token while it is merged together: a byte, ever longer parts, the token; and the rank of what each becomes."""
         known = self.edges[side].get(token)
         if known is None:
             data = self.texts[token]
-            inner = [] if len(data) == 1 else self._edge(self.ranks[self._halves(data, token)[side]], side)
-            known = self.edges[side][token] = [*inner, (data, token)]
+            if len(data) == 1:
+                known = [data], [NEVER]
+            else:
+                parts, grown = self._edge(self.ranks[self._halves(data, token)[side]], side)
+                known = [*parts, data], [*grown[:-1], token, NEVER]
+            self.edges[side][token] = known
         return known
 
     def _halves(self, data: bytes, below: int) -> list[bytes]:
@@ -245,6 +274,18 @@ def tokenizer(data: bytes) -> Tokenizer:
     return _ready[key]
 
 
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """Without the cycle collector, which would go through all states again and again; they have no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def encode_texts(docs: DataFrame, doc_id: str, text: str, ranks) -> DataFrame:  # noqa: ANN001
     """``doc_id`` and ``ids`` of every row, an empty list for an empty and for a NULL text. No shuffle."""
 
@@ -253,7 +294,8 @@ def encode_texts(docs: DataFrame, doc_id: str, text: str, ranks) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                lists = [np.fromiter(encode(t.as_py()), dtype=np.int32) for t in part.column(1)]
+                with no_cycles():
+                    lists = [np.fromiter(encode(t.as_py()), dtype=np.int32) for t in part.column(1)]
                 ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
                 flat = pa.array(np.concatenate(lists) if lists else np.empty(0, np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=[doc_id, "ids"])
@@ -268,7 +310,8 @@ def count_tokens(docs: DataFrame, text: str, keep: list[str], ranks) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = tokenizer(ranks.value).count
         for batch in batches:
-            n = pa.array([count(t.as_py()) for t in batch.column(0)], type=pa.int64())
+            with no_cycles():
+                n = pa.array([count(t.as_py()) for t in batch.column(0)], type=pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], n], names=[*keep, "n_tokens"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -282,10 +325,11 @@ def check_round_trip(docs: DataFrame, doc_id: str, text: str, ranks) -> DataFram
         own = tokenizer(ranks.value)
         for batch in batches:
             n, same = [], []
-            for value in batch.column(1):
-                ids = list(own.encode(value.as_py()))
-                n.append(len(ids))
-                same.append(own.decode(ids) == (value.as_py() or ""))
+            with no_cycles():
+                for value in batch.column(1):
+                    ids = list(own.encode(value.as_py()))
+                    n.append(len(ids))
+                    same.append(own.decode(ids) == (value.as_py() or ""))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, type=pa.int64()), pa.array(same, type=pa.bool_())], names=[doc_id, "n_tokens", "same"])
 
     kind = docs.schema[doc_id].dataType.simpleString()

@@ -217,6 +217,43 @@ def test_states_may_be_forgotten(own, library, monkeypatch):
         assert list(own.encode(text)) == library(text)
 
 
+def fresh():
+    with open(f"{tokenizer.FOLDER}/byte_bpe_50k.tiktoken", "rb") as f:
+        return tokenizer.Transducer(tokenizer.parse_ranks(f.read()))
+
+
+@pytest.mark.parametrize("letters, most", [("ab", 500), ("abc", 1500), ("=-+", 3000), ("x", 50)])
+def test_states_of_a_long_piece_are_few_and_tokens_leave_before_its_end(library, letters, most):
+    random.seed(1)
+    piece, t, ids, early = "".join(random.choices(letters, k=1_000_000)), fresh(), [], 0
+    for at, settled in enumerate(t.stream(b for b in piece.encode())):
+        early += len(settled) if len(ids) < 1000 else 0
+        ids += settled
+    assert ids == library(piece)
+    assert len(t.places) <= most  # of a million prefixes
+    assert max(len(open_) for places in t.places for _, _, open_ in places) <= 12 and early > 900
+    fed, source = [], iter(piece.encode())
+    stream = fresh().stream(source)
+    while len(fed) < 100:
+        fed += next(stream)
+    assert sum(1 for _ in source) > 999_000  # a hundred tokens were there after a thousand bytes
+
+
+def test_states_of_ten_megabytes_are_bounded_without_forgetting():
+    words = [a + b + c for a in ("", "get", "set", "is", "has", "make", "re", "un") for b in ("user", "Index", "value", "Buffer", "count", "Name", "hash") for c in ("", "s", "Id", "List", "Of", "_at", "ing", "ed")]
+    random.seed(3)
+    t, seen, prefixes = fresh(), [], 0
+    for _ in range(10):
+        size = 0
+        while size < 1_000_000:
+            piece = (" " + "".join(random.choices(words, k=random.randint(1, 12)))).encode()
+            t.encode(piece)
+            size += len(piece)
+        prefixes += size
+        seen.append(len(t.places))
+    assert seen[-1] < min(tokenizer.MOST_STATES, prefixes / 50) and seen[-1] - seen[-2] < 0.1 * seen[0]
+
+
 def test_decoder_waits_for_unfinished_characters():
     data = "aé中😀z".encode()
     for cut in range(len(data) + 1):
