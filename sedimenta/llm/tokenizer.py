@@ -68,7 +68,8 @@ class Transducer:
 
     def forget(self) -> None:
         """All states go; the first is that of no bytes: one place, nothing before it."""
-        self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.step: dict[int, int] = {}
+        self.settled: dict[int, tuple[int, ...]] = {}
         self.places: list[tuple[tuple[int, int, tuple[int, ...]], ...]] = []
         self.names: dict[tuple, int] = {}
         self._name(((0, -1, ()),))
@@ -83,18 +84,19 @@ class Transducer:
         """Tokens of one piece as its bytes settle them; the piece may come byte by byte."""
         if len(self.places) > MOST_STATES:
             self.forget()
-        state, step = 0, self.step
+        state, step, settled = 0, self.step, self.settled
         for byte in piece:
-            edge = step.get(state << 8 | byte)
-            if edge is None:
+            key = state << 8 | byte
+            state = step.get(key)
+            if state is None:
                 if len(self.places) > 2 * MOST_STATES:  # within one piece: only its own state is kept
-                    places = self.places[state]
+                    places = self.places[key >> 8]
                     self.forget()
-                    state, step = self._name(places), self.step
-                edge = self._edge_of(state, byte)
-            state, settled = edge
-            if settled:
-                yield settled
+                    step, settled = self.step, self.settled
+                    key = self._name(places) << 8 | byte
+                state = self._edge_of(key)
+            if key in settled:
+                yield settled[key]
         yield self.places[state][-1][2]
 
     def _name(self, places: tuple) -> int:
@@ -104,11 +106,11 @@ class Transducer:
             self.places.append(places)
         return state
 
-    def _edge_of(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Where a byte leads from a state, and the tokens it settles."""
+    def _edge_of(self, key: int) -> int:
+        """Where a byte leads from a state; ``settled`` gets the tokens that it settles, if any."""
         find, token, goes_on, fits = self.trie.get, self.token, self.goes_on, self.fits
-        here, kept, nothing_shared = None, [], False
-        for node, last, open_ in self.places[state]:  # the earliest place first
+        here, kept, nothing_shared, byte = None, [], False, key & 255
+        for node, last, open_ in self.places[key >> 8]:  # the earliest place first
             node = find(node << 8 | byte)
             if node is None:
                 continue
@@ -120,18 +122,17 @@ class Transducer:
                 if not open_:
                     nothing_shared = True
         kept.append(here)
-        settled = ()
         if not nothing_shared:
             least, most, n = min(p[2] for p in kept), max(p[2] for p in kept), 0
             while n < len(least) and n < len(most) and least[n] == most[n]:
                 n += 1
             if n:
-                settled = least[:n]
+                self.settled[key] = least[:n]
                 kept = [(node, last, open_[n:]) for node, last, open_ in kept]
         kept = tuple(kept)
-        name = self.names.get(kept)
-        edge = self.step[state << 8 | byte] = (self._name(kept) if name is None else name, settled)
-        return edge
+        state = self.names.get(kept)
+        state = self.step[key] = self._name(kept) if state is None else state
+        return state
 
     def _fit(self, left: int, right: int) -> bool:
         if len(self.fits) > 2 * MOST_STATES:
