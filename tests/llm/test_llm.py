@@ -312,6 +312,34 @@ def test_words_are_cut_at_humps_and_joined_ones_are_split():
     f = subjects.Features(["goal", "league", "tmp", "table", "id"])
     assert f.of(["leaguetmp", "goal", "unknown", "tableid"]) == [0, 1, 2, 3, 4] and f.of([]) == []
     assert subjects.Words().of(None) == [] and subjects.Words().of("a1b") == []
+    for times in (15, 20, 20_000):  # words of any length
+        assert subjects.Features(["enzyme", "protein"]).of(["proteinenzyme" * times]) == [0, 1]
+    assert subjects.Features(["белок", "фермент"]).of(["белокфермент"]) == [0, 1]
+    assert subjects.Features(["goal", "goals", "score"]).of(["goalsscore", "goalscore"]) == [0, 1, 2] and subjects.Features([]).of(["anything"]) == []
+
+
+def test_complement_weights_equal_their_definition():
+    inside, n_inside, every, n = np.array([[8.0, 0.0], [5.0, 5.0], [0.0, 1.0]]), np.array([10.0, 20.0]), np.array([8.0, 50.0, 40.0]), 100.0
+    w = subjects.complement_weights(inside, n_inside, every, n)
+    raw = [[math.log((e + 0.5) / 101) - math.log((e - i + 0.5) / (n - m + 1)) for i, m in zip(row, n_inside)] for row, e in zip(inside, every)]
+    size = [sum(abs(r[s]) for r in raw) for s in (0, 1)]
+    for s in (0, 1):
+        scale = min(2, max(0.5, sum(size) / 2 / size[s]))
+        assert [float(x) for x in w[:, s]] == pytest.approx([r[s] * scale for r in raw], rel=1e-5)
+    assert w[0, 0] == w.max() and subjects.complement_weights(inside * 0, n_inside * 0, every, n).max() == 0
+
+
+def test_own_calibrations_differ_from_the_shared_one_only_where_labels_suffice(spark):
+    rng = np.random.default_rng(4)
+    ids = [[0] * int(a) + [1] * int(b) for a, b in rng.integers(1, 30, (600, 2))]
+    data = [(i, x, [0] if x.count(0) > 15 and i % 2 else [1] if x.count(1) > 25 and i % 40 == 0 else [], True) for i, x in enumerate(ids)]
+    features = spark.createDataFrame(data, "d long, ids array<int>, y array<int>, fit boolean")
+    table = np.eye(2, dtype=np.float32)
+    settings = subjects.Settings(own_labels=20)
+    shared = subjects.calibrate(features, table, subjects.Settings(own_labels=10**9))
+    own = subjects.calibrate(features, table, settings)
+    assert (shared[0] == shared[1]).all() and (own[1] == shared[1]).all() and not (own[0] == shared[0]).all()
+    assert subjects.calibrate(features, table * 0, settings) is None
 
 
 def corpus(seed, n):
