@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.operators.ordering import dense_codes
+from sedimenta.operators.skew import lookup
 
 
 def amount_features(amount: Column) -> dict[str, Column]:
@@ -22,7 +23,7 @@ def fit_frequency(train: DataFrame, column: str) -> DataFrame:
 
 def apply_frequency(df: DataFrame, fitted: DataFrame, column: str) -> DataFrame:
     """``freq_{column}``; 0 for an unseen or NULL value."""
-    joined = df.join(fitted, column, "left")
+    joined = lookup(df, fitted, [column])
     return joined.withColumn(f"freq_{column}", F.coalesce(F.col(f"freq_{column}"), F.lit(0)))
 
 
@@ -34,7 +35,7 @@ def fit_group_stats(train: DataFrame, column: str, value: str, stats: Sequence[s
 
 def apply_group_stats(df: DataFrame, fitted: DataFrame, column: str, value: str) -> DataFrame:
     """The statistics of each row's entity and ``value`` over the mean; NULL for an unseen entity."""
-    joined = df.join(fitted, column, "left")
+    joined = lookup(df, fitted, [column])
     mean = f"{value}_{column}_mean"
     return joined.withColumn(f"{value}_{column}_ratio", F.try_divide(F.col(value), F.col(mean))) if mean in fitted.columns else joined
 
@@ -46,5 +47,5 @@ def fit_label_codes(train: DataFrame, column: str) -> DataFrame:
 
 def apply_label_codes(df: DataFrame, fitted: DataFrame, column: str) -> DataFrame:
     """``le_{column}``; -1 for an unseen or NULL value."""
-    joined = df.join(fitted, column, "left")
+    joined = lookup(df, fitted, [column])
     return joined.withColumn(f"le_{column}", F.coalesce(F.col(f"le_{column}"), F.lit(-1)))

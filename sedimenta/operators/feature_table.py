@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from sedimenta.operators.skew import heavy_keys
 
 
-def entity_type_stats(events: DataFrame, entity: str, kind: str, event_id: str, day: str, amount: str, salts: int = 16, share: float = 0.005) -> DataFrame:
+def entity_type_stats(events: DataFrame, entity: str, kind: str, event_id: str, day: str, amount: str, salts: int = 16, share: float = 0.005, sampled: DataFrame | None = None) -> DataFrame:
     """``n``, ``last_day`` and ``total`` for each entity and type that occur together.
 
     Two stages: a group that a sample shows to be heavy is spread over
     ``salts`` salts by a hash of the event; the partial counts, maxima and sums
-    are then merged per entity and type. Events without entity or type have no
+    are then merged per entity and type. The sample is drawn from ``sampled``,
+    if given: rows with the same groups that are cheaper to make. Events without entity or type have no
     group. A missing amount counts as 0; repeated events count as often as they
     are given.
     """
     rows = events.where(F.col(entity).isNotNull() & F.col(kind).isNotNull())
-    heavy = heavy_keys(rows, [entity, kind], share).withColumn("__heavy", F.lit(True))
+    heavy = heavy_keys(rows if sampled is None else sampled.dropna(subset=[entity, kind]), [entity, kind], share).withColumn("__heavy", F.lit(True))
     spread = F.when(F.col("__heavy"), F.pmod(F.xxhash64(event_id), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     salted = rows.join(F.broadcast(heavy), [entity, kind], "left").withColumn("__salt", spread)
     partial = salted.groupBy(entity, kind, "__salt").agg(F.count("*").alias("n"), F.max(day).alias("last_day"), F.sum(F.coalesce(amount, F.lit(0))).alias("total"))

@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.operators.profiling import unpivot
+from sedimenta.operators.profiling import as_text, unpivot
+from sedimenta.operators.skew import lookup, lookup_columns
 
 NODE = ["node_col", "node_val"]
 
@@ -65,23 +66,19 @@ def project_attributes(e: DataFrame) -> DataFrame:
 
 
 def degree_features(df: DataFrame, key: str, node_columns: Sequence[str]) -> DataFrame:
-    """``graph_deg_{column}``: rows that share the row's value, itself included; 0 if missing."""
-    out = df.select(key, *node_columns)
-    for c in node_columns:
-        n = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias(f"graph_deg_{c}"))
-        out = out.join(n, c, "left")
-    return out.select(key, *[F.coalesce(f"graph_deg_{c}", F.lit(0)).alias(f"graph_deg_{c}") for c in node_columns])
+    """``graph_deg_{column}``: rows that share the row's value, itself included; 0 if missing. ``key`` is unique."""
+    sizes = unpivot(df, node_columns).where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    found = lookup_columns(df, key, {c: c for c in node_columns}, sizes, ["n"])
+    return found.select(key, *[F.coalesce(f"n~{c}", F.lit(0)).alias(f"graph_deg_{c}") for c in node_columns])
 
 
 def cross_cardinality(df: DataFrame, key: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """``graph_n_unique_{b}_per_{a}``: distinct values of b among the rows with the row's value of a; NULL if a is missing."""
-    out, names = df, []
-    for a, b in pairs:
-        name = f"graph_n_unique_{b}_per_{a}"
-        distinct = df.where(F.col(a).isNotNull()).groupBy(a, b).agg(F.lit(1).alias("__one"))
-        out = out.join(distinct.groupBy(a).agg(F.count(b).alias(name)), a, "left")
-        names.append(name)
-    return out.select(key, *names)
+    """``graph_n_unique_{b}_per_{a}``: distinct values of b among the rows with the row's value of a; NULL if a is missing. ``key`` is unique."""
+    names = {f"graph_n_unique_{b}_per_{a}": a for a, b in pairs}
+    parts = [x for (a, b), name in zip(pairs, names) for x in (F.lit(name), as_text(df, a), as_text(df, b))]
+    both = df.select(F.stack(F.lit(len(pairs)), *parts).alias("column_name", "value", "other")).where(F.col("value").isNotNull()).distinct()
+    found = lookup_columns(df, key, names, both.groupBy("column_name", "value").agg(F.count("other").alias("n")), ["n"])
+    return found.select(key, *[F.col(f"n~{name}").alias(name) for name in names])
 
 
 def neighbour_counts(e: DataFrame, keys: DataFrame) -> DataFrame:
@@ -124,7 +121,7 @@ def client_activity(df: DataFrame, key: str, client: str, amount: str, day: str,
     stats = rows.groupBy(client).agg(
         F.count("*").alias("uid_size"), F.avg(amount).alias("uid_amt_mean"), F.stddev_samp(amount).alias("uid_amt_std"), F.countDistinct(device).alias("uid_n_unique_device"), (F.max(day) - F.min(day)).alias("uid_span_days")
     )
-    out = df.select(key, client, amount).join(stats, client, "left")
+    out = lookup(df.select(key, client, amount), stats, [client])
     return out.select(
         key, "uid_size", "uid_amt_mean", "uid_amt_std", "uid_n_unique_device", "uid_span_days",
         (F.col("uid_size") / (F.col("uid_span_days") + 1)).alias("uid_tx_per_day"), F.try_divide(F.col(amount), F.col("uid_amt_mean")).alias("uid_amt_ratio"),

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.operators.graph import NODE
-from sedimenta.session import Rounds, ship_package
+from sedimenta.session import Rounds
 
 
 def pagerank(e: DataFrame, keys: DataFrame, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-8) -> DataFrame:
@@ -88,131 +84,93 @@ def component_sizes(e: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.select("tx").join(each, "tx", "left").select("tx", F.coalesce("s", F.lit(1)).alias("graph_component_size"))
 
 
-def core_numbers(pairs: DataFrame, one_task: int = 5_000_000, most_rounds: int = 100_000) -> DataFrame:
+def core_numbers(pairs: DataFrame, most_rounds: int = 100_000) -> DataFrame:
     """``node`` and ``core`` of an undirected graph of pairs ``a``, ``b``, without weights.
 
-    Up to ``one_task`` pairs, one task peels nodes off in order of degree.
-    Beyond, every node's guess, first its degree, becomes the h-index of its
-    neighbours' guesses until nothing changes (Montresor et al. 2013); the
-    h-index comes from counts of neighbours by guess, so a node's neighbours
-    are never collected. Both are exact.
+    Every node's guess, first its degree, becomes the h-index of its
+    neighbours' guesses until nothing changes (Montresor et al. 2013). A guess
+    can only change if a neighbour's did, so a round looks at the neighbours of
+    the nodes that changed in the one before. The h-index comes from counts of
+    neighbours by guess: a node's neighbours are never collected, and the counts
+    are partial before the shuffle.
     """
+    tables = Rounds(pairs.sparkSession)
     proper = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    if proper.limit(one_task + 1).count() <= one_task:
-        ship_package(pairs.sparkSession)
-        kind = pairs.schema["a"].dataType.simpleString()
-        return proper.repartition(1).mapInPandas(_peel, f"node {kind}, core long")
-    return _core_rounds(proper, most_rounds)
-
-
-def _peel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    parts = list(frames)
-    if not parts or not sum(map(len, parts)):
-        return
-    whole = pd.concat(parts)
-    codes, names = pd.factorize(np.r_[whole["a"].to_numpy(), whole["b"].to_numpy()])
-    a, b = codes[: len(whole)], codes[len(whole) :]
-    order = np.argsort(np.r_[a, b], kind="stable")
-    near, starts = np.r_[b, a][order], np.r_[0, np.cumsum(np.bincount(np.r_[a, b], minlength=len(names)))]
-    left = np.diff(starts).copy()
-    core = np.zeros(len(names), dtype=np.int64)
-    buckets: dict[int, set[int]] = {}
-    for i, d in enumerate(left.tolist()):
-        buckets.setdefault(d, set()).add(i)
-    level, gone = 0, np.zeros(len(names), dtype=bool)
-    for _ in range(len(names)):
-        while not buckets.get(level):
-            level += 1
-        i = buckets[level].pop()
-        core[i], gone[i] = level, True
-        for j in near[starts[i] : starts[i + 1]].tolist():
-            if not gone[j] and left[j] > level:  # no node's count falls below the level, as it is in that core anyway
-                buckets[left[j]].discard(j)
-                left[j] -= 1
-                buckets.setdefault(int(left[j]), set()).add(j)
-    yield pd.DataFrame({"node": names, "core": core})
-
-
-def _core_rounds(proper: DataFrame, most_rounds: int) -> DataFrame:
-    tables = Rounds(proper.sparkSession)
     both = tables.write("both", proper.select(F.col("a").alias("u"), F.col("b").alias("v")).union(proper.select("b", "a")))
-    guess = both.groupBy("u").agg(F.count("*").alias("core"))
+    guess = tables.write("cores", both.groupBy("u").agg(F.count("*").alias("core"), F.lit(True).alias("changed")))
     for _ in range(most_rounds):
-        seen = both.join(guess.select(F.col("u").alias("v"), F.col("core").alias("c")), "v").join(guess, "u")
+        near = guess.select(F.col("u").alias("v"), F.col("core").alias("c"), "changed")
+        touched = both.join(near.where("changed"), "v", "left_semi").select("u").distinct()
+        seen = both.join(touched, "u").join(near.drop("changed"), "v").join(guess.drop("changed"), "u")
         counted = seen.groupBy("u", "core", F.least("c", "core").alias("c")).agg(F.count("*").alias("n"))
-        # for the h-index: neighbours with a guess of c or more, for each c that occurs
+        # neighbours with a guess of c or more, for each c that occurs
         items = counted.groupBy("u", "core").agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("d"), "n"))).alias("x"))
         zero = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("h"))
         last = F.aggregate("x", zero, lambda s, i: F.struct((s["upto"] + i["n"]).alias("upto"), F.greatest(s["h"], F.least(-i["d"], s["upto"] + i["n"])).cast("long").alias("h")))
-        after = tables.write("cores", items.select("u", "core", last["h"].alias("h")))
-        changed = after.where("h <> core").limit(1).count()
-        guess = after.select("u", F.col("h").alias("core"))
-        if not changed:
+        lower = items.select("u", last["h"].alias("h"))
+        moved = F.coalesce(F.col("h") < F.col("core"), F.lit(False))
+        guess = tables.write("cores", guess.drop("changed").join(lower, "u", "left").select("u", F.when(moved, F.col("h")).otherwise(F.col("core")).alias("core"), moved.alias("changed")))
+        if not guess.where("changed").limit(1).count():
             break
-    return guess.withColumnRenamed("u", "node")
+    return guess.select(F.col("u").alias("node"), "core")
 
 
-def louvain(pairs: DataFrame, resolution: float = 1.0, most_pairs: int = 20_000_000) -> DataFrame:
-    """``node`` and ``community`` of the weighted graph ``a``, ``b``, ``weight`` (Blondel et al. 2008).
+def louvain(pairs: DataFrame, resolution: float = 1.0, sweeps: int = 8, levels: int = 10, least_move: float = 0.01, seed: int = 5) -> DataFrame:
+    """``node`` and ``community`` of the weighted graph ``a``, ``b``, ``weight``, by modularity (Blondel et al. 2008).
 
-    One task, for the projected graph of attributes, which is as small as
-    there are values; ValueError beyond ``most_pairs``. Nodes are visited in
-    sorted order, so the result is the same each time. A community's number is
-    its smallest node's place.
+    Local moves run in rounds over tables of links: in each, half of the nodes,
+    drawn by a seeded hash, look at the communities of their neighbours and move
+    to the one with the greatest gain, the smallest of several; the other half
+    stays, so neighbours rarely swap places. When a sweep over both halves moves
+    less than ``least_move`` of the nodes, or after ``sweeps``, communities
+    become nodes of a smaller graph and the same begins again, until nothing
+    moves. The sums are of whole weights, so the result is the same on any
+    number of executors. A community is named by its smallest node; pairs of a
+    node with itself count as loops.
     """
-    ship_package(pairs.sparkSession)
-    if pairs.limit(most_pairs + 1).count() > most_pairs:
-        raise ValueError(f"louvain takes {most_pairs} pairs at most")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(frames)
-        if parts and sum(map(len, parts)):
-            whole = pd.concat(parts)
-            names, codes = np.unique(np.r_[whole["a"].to_numpy(str), whole["b"].to_numpy(str)], return_inverse=True)
-            a, b = codes[: len(whole)], codes[len(whole) :]
-            yield pd.DataFrame({"node": names, "community": _louvain(a, b, whole["weight"].to_numpy(float), len(names), resolution)})
-
-    return pairs.select("a", "b", "weight").repartition(1).sortWithinPartitions("a", "b").mapInPandas(run, "node string, community long")
-
-
-def _louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, resolution: float) -> np.ndarray:
-    member = np.arange(n)
-    size = n
-    while True:
-        near: list[dict[int, float]] = [{} for _ in range(size)]
-        loops = np.zeros(size)
-        for i, j, x in zip(a.tolist(), b.tolist(), w.tolist()):
-            if i == j:
-                loops[i] += x
-            else:
-                near[i][j] = near[i].get(j, 0.0) + x
-                near[j][i] = near[j].get(i, 0.0) + x
-        degree = np.array([sum(x.values()) for x in near]) + 2 * loops
-        total = degree.sum()
-        of, inside = list(range(size)), degree.copy()
-        moved, any_move = True, False
-        while moved and total > 0:
-            moved = False
-            for i in range(size):
-                gains: dict[int, float] = {}
-                for j, x in near[i].items():
-                    gains[of[j]] = gains.get(of[j], 0.0) + x
-                own = of[i]
-                inside[own] -= degree[i]
-                best, most = own, gains.get(own, 0.0) - resolution * inside[own] * degree[i] / total
-                for c in sorted(gains):
-                    gain = gains[c] - resolution * inside[c] * degree[i] / total
-                    if gain > most + 1e-12:
-                        best, most = c, gain
-                inside[best] += degree[i]
-                if best != own:
-                    of[i], moved, any_move = best, True, True
-        names = {c: k for k, c in enumerate(sorted(set(of)))}
-        new = np.array([names[c] for c in of])
-        member = new[member]
-        if not any_move:
+    tables = Rounds(pairs.sparkSession)
+    own = pairs.where("a = b").select(F.col("a").alias("u"), F.col("b").alias("v"), (2 * F.col("weight")).alias("w"))
+    two = pairs.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("weight").alias("w"))
+    links = tables.write("links", two.union(two.select("v", "u", "w")).union(own).groupBy("u", "v").agg(F.sum("w").alias("w")))
+    member = tables.write("member", links.select(F.col("u").alias("node")).distinct().withColumn("community", F.col("node")))
+    for level in range(levels):
+        state = tables.write("state", links.groupBy("u").agg(F.sum("w").alias("k")).withColumn("c", F.col("u")))
+        n, total = state.agg(F.count("*"), F.sum("k")).first()
+        if not n or not total:
+            break
+        state, moves = _local_moves(tables, links, state, n, float(total), resolution, sweeps, least_move, seed + 100 * level)
+        if not moves:
+            break
+        up = state.select(F.col("u").alias("community"), F.col("c").alias("above"))
+        member = tables.write("member", member.join(up, "community").select("node", F.col("above").alias("community")))
+        ends = [state.select(F.col("u").alias(end), F.col("c").alias(f"c{end}")) for end in ("u", "v")]
+        moved = links.join(ends[0], "u").join(ends[1], "v")
+        links = tables.write("links", moved.groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
+    first = member.groupBy("community").agg(F.min("node").alias("first"))
+    return member.join(first, "community").select("node", F.col("first").alias("community"))
+
+
+def _local_moves(tables: Rounds, links: DataFrame, state: DataFrame, n: int, total: float, resolution: float, sweeps: int, least_move: float, seed: int) -> tuple[DataFrame, int]:
+    """Communities ``c`` of the nodes after rounds of moves, and how many moves there were."""
+    every = 0
+    for sweep in range(sweeps):
+        in_sweep = 0
+        for half in (0, 1):
+            mine = F.pmod(F.xxhash64("u", F.lit(seed + sweep)), F.lit(2)) == half
+            sizes = state.groupBy("c").agg(F.sum("k").alias("size"))
+            near = links.where(mine & (F.col("u") != F.col("v"))).join(state.select(F.col("u").alias("v"), "c"), "v").select("u", "c", F.col("w").cast("long").alias("w"))
+            stay = state.where(mine).select("u", "c", F.lit(0).cast("long").alias("w"))
+            ways = near.union(stay).groupBy("u", "c").agg(F.sum("w").alias("w"))
+            at_home = F.col("c") == F.col("home")
+            rest = F.col("size") - F.when(at_home, F.col("k")).otherwise(0)
+            gain = F.col("w") - F.lit(resolution) * F.col("k") * rest / F.lit(total)
+            judged = ways.join(state.select("u", "k", F.col("c").alias("home")), "u").join(sizes, "c").select("u", "c", gain.alias("gain"), at_home.alias("at_home"))
+            best = judged.groupBy("u").agg(F.min_by("c", F.struct(-F.col("gain"), F.col("c"))).alias("to"), F.max("gain").alias("most"), F.max(F.when(F.col("at_home"), F.col("gain"))).alias("now"))
+            goes = best.where(F.col("most") > F.col("now") + 1e-12).select("u", "to")
+            state = tables.write("state", state.join(goes, "u", "left").select("u", "k", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")))
+            in_sweep += state.where("moved").count()
+            state = state.drop("moved")
+        every += in_sweep
+        if in_sweep <= least_move * n:
             break
-        a, b = new[a], new[b]
-        size = len(names)
-    first: dict[int, int] = {}
-    return np.array([first.setdefault(c, i) for i, c in enumerate(member)])
+    return state, every

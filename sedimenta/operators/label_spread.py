@@ -8,6 +8,7 @@ from pyspark.sql.types import BooleanType
 
 from sedimenta.functions.domain import smooth_rate
 from sedimenta.operators.graph import neighbour_sums
+from sedimenta.operators.skew import lookup
 
 
 def masked(df: DataFrame, key: str, label: str, mask: str) -> DataFrame:
@@ -45,7 +46,7 @@ def group_label_stats(values: DataFrame, groups: DataFrame, group: str) -> DataF
     """``pos`` and ``lab`` of the other rows of each row's group (``groups``: ``tx`` and ``group``); 0 if the group is NULL."""
     rows = values.join(groups, "tx")
     totals = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.sum("y").alias("__y"), F.sum("m").alias("__m"))
-    joined = rows.join(totals, group, "left")
+    joined = lookup(rows, totals, [group])
     return joined.select("tx", F.greatest(F.coalesce(F.col("__y") - F.col("y"), F.lit(0.0)), F.lit(0.0)).alias("pos"), F.greatest(F.coalesce(F.col("__m") - F.col("m"), F.lit(0.0)), F.lit(0.0)).alias("lab"))
 
 

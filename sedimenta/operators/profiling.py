@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,19 +13,20 @@ def rate_by(df: DataFrame, key: str, label: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n"), F.avg(label).alias("rate"))
 
 
-def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """``keep``, ``column_name`` and ``value`` as text, one row for each row and column; absent columns are skipped.
+def as_text(df: DataFrame, column: str) -> Column:
+    """A column as text; a double that holds a whole number is written without the point, NaN is missing."""
+    text, kind = F.col(column).cast("string"), dict(df.dtypes)[column]
+    if kind in ("double", "float"):
+        whole = (F.col(column) == F.floor(F.col(column))) & (F.abs(F.col(column)) < 9e18)
+        return F.when(whole, F.col(column).cast("long").cast("string")).when(~F.isnan(column), text)
+    return text
 
-    A double that holds a whole number is written without the point.
-    """
-    kinds = dict(df.dtypes)
-    parts = []
-    for c in (c for c in columns if c in kinds):
-        text = F.col(c).cast("string")
-        if kinds[c] in ("double", "float"):
-            text = F.when(F.col(c) == F.floor(F.col(c)), F.col(c).cast("long").cast("string")).otherwise(text)
-        parts += [F.lit(c), text]
-    return df.select(*keep, F.stack(F.lit(len(parts) // 2), *parts).alias("column_name", "value"))
+
+def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """``keep``, ``column_name`` and ``value`` as text, one row for each row and column; absent columns are skipped."""
+    there = [c for c in columns if c in df.columns]
+    parts = [x for c in there for x in (F.lit(c), as_text(df, c))]
+    return df.select(*keep, F.stack(F.lit(len(there)), *parts).alias("column_name", "value"))
 
 
 def cardinality_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:

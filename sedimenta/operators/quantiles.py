@@ -12,8 +12,9 @@ from sedimenta.operators.ordering import running_totals
 
 
 def linspace(low: float, high: float, n: int) -> list[float]:
-    """``n`` evenly spaced numbers, both ends included."""
-    return [low + (high - low) * (i / (n - 1)) if i < n - 1 else high for i in range(n)]
+    """``n`` evenly spaced numbers, both ends included; rounded as multiples of the step are."""
+    step = (high - low) / (n - 1)
+    return [*(low + i * step for i in range(n - 1)), high]
 
 
 def exact_quantiles(long: DataFrame, feature: str, value: str, fractions: Sequence[float]) -> dict[str, list[float]]:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Mapping, Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimenta.operators.profiling import unpivot
+from sedimenta.sources.tables import bounded
 
 
 def feature_group(name: Column) -> Column:
@@ -62,10 +65,10 @@ def chosen_entities(df: DataFrame, columns: Sequence[str], label: str, least: in
     return top(fit, [F.col("rate").desc(), F.col("value")], high).union(top(fit.where("rate = 0"), [F.col("value")], low)).distinct()
 
 
-def subgraph_edges(df: DataFrame, key: str, chosen: DataFrame, columns: Sequence[str], most: int = 60) -> DataFrame:
+def subgraph_edges(df: DataFrame, key: str, chosen: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``anchor``, ``tx`` and ``node``: each chosen value with its rows, and the other values that several of them share."""
     long = unpivot(df, columns, [key]).where(F.col("value").isNotNull())
-    anchors = long.join(F.broadcast(chosen.select("column_name", "value")), ["column_name", "value"])
+    anchors = long.join(bounded(chosen.select("column_name", "value")), ["column_name", "value"])
     anchors = anchors.select(F.concat_ws("=", "column_name", "value").alias("anchor"), F.col("column_name").alias("anchor_column"), key)
     others = long.join(anchors, key).where(F.col("column_name") != F.col("anchor_column")).select("anchor", key, F.concat_ws("=", "column_name", "value").alias("node"))
     shared = others.groupBy("anchor", "node").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "node")
@@ -107,10 +110,47 @@ def parameter_hash(parameters: Mapping) -> str:
     return hashlib.sha256(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:8]
 
 
-def append_experiment(spark: SparkSession, path: str, row: Mapping) -> DataFrame:
-    """Appends one experiment to a folder of JSON lines; columns may be new. Gives back the whole log."""
-    spark.createDataFrame([(json.dumps(dict(row), sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("append").text(path)
-    return spark.read.json(path)
+def log_experiment(
+    spark: SparkSession, path: str, name: str, feature_set: str, parameters: Mapping, val: Mapping[str, float], test: Mapping[str, float] | None = None,
+    n_features: int | None = None, trees: int | None = None, positive_weight: float | None = None, notes: str = "",
+) -> DataFrame:
+    """Appends one experiment to a folder of CSV files and gives back the whole log.
+
+    Metrics get the prefixes ``val_`` and ``test_``; the row has the time in
+    UTC and a hash of the parameters. Each experiment is a file with its own
+    header, so columns may be new and none is written again; the log is their
+    union by name, and a column that a file lacks is NULL there.
+    """
+    row = {"timestamp": datetime.now(timezone.utc).isoformat(timespec="milliseconds"), "name": name, "feature_set": feature_set, "param_hash": parameter_hash(parameters)}
+    row |= {"n_features": n_features, "trees": trees, "positive_weight": positive_weight, "notes": notes}
+    row |= {f"val_{k}": v for k, v in val.items()} | {f"test_{k}": v for k, v in (test or {}).items()}
+    kinds = ", ".join(f"`{k}` {_log_kind(k)}" for k in row)
+    spark.createDataFrame([tuple(row.values())], kinds).coalesce(1).write.mode("append").option("header", True).option("escape", '"').csv(f"{path}/{row['param_hash']}-{uuid.uuid4().hex}")
+    return read_log(spark, path)
+
+
+def _log_kind(column: str) -> str:
+    return "long" if column in ("n_features", "trees") else "double" if column == "positive_weight" or column.startswith(("val_", "test_")) else "string"
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The whole log; one file an experiment, so as many scans as there are kinds of header."""
+    files = [f.getPath().toString() for f in _listed(spark, path)]
+    headers: dict[tuple[str, ...], list[str]] = {}
+    for f in files:
+        headers.setdefault(tuple(spark.read.option("header", True).csv(f).columns), []).append(f)
+    made = [spark.read.schema(", ".join(f"`{c}` {_log_kind(c)}" for c in columns)).option("header", True).option("escape", '"').option("mode", "FAILFAST").csv(fs) for columns, fs in headers.items()]
+    return union_logs(made)
+
+
+def _listed(spark: SparkSession, path: str) -> list:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder), key=lambda f: f.getPath().toString())
+
+
+def tested_experiments(log: DataFrame) -> DataFrame:
+    """The last experiment of each name among those that were judged on the test period."""
+    return keep_last(log.where(F.col("test_auc").isNotNull()), "name", [F.col("timestamp")])
 
 
 def union_logs(logs: Sequence[DataFrame]) -> DataFrame:

@@ -40,7 +40,8 @@ def _no_nan(column: Column, kind: str) -> Column:
 
 def normalise_identity_columns(df: DataFrame) -> DataFrame:
     """Columns that start with ``id`` are spelled with ``_`` instead of ``-``; others stay."""
-    return df.withColumnsRenamed({c: c.replace("-", "_") for c in df.columns if c.startswith("id")})
+    spelled = ["_".join(f.name.split("-")) if f.name.startswith("id") else f.name for f in df.schema.fields]
+    return df.toDF(*spelled)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:

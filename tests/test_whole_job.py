@@ -62,7 +62,7 @@ def components(nodes_of):
 
 
 def test_components_at_the_references_cap(spark, folder, components):
-    got = {r.tx: r.graph_component_size for r in entry.queries()["q_g3_components_5000"](spark, folder).collect()}
+    got = {r.tx: r.graph_component_size for r in entry.queries()["q_g3_components"](spark, folder).collect()}
     assert [got[i] for i in range(N)] == components and min(components[:5000]) >= 25
 
 
@@ -97,7 +97,7 @@ def test_structure_at_the_references_cap(spark, folder, nodes_of, components):
     assert [got[i].graph_component_size for i in range(N)] == components
 
 
-@pytest.mark.parametrize("name", ["q_p11_cap_5000", "q_j7_projection_5000", "q_l4_two_hop_5000", "q_l5_features_5000", "q_d3_evidence_5000"])
+@pytest.mark.parametrize("name", ["q_p11_cap_5000", "q_j7_projection", "q_l4_two_hop", "q_l5_features", "q_d3_evidence", "q_g3_components", "q_g5_cores"])
 def test_sql_at_the_references_cap(spark, folder, name):
     pytest.importorskip("duckdb")
     assert differences(entry.queries()[name](spark, folder), connect(folder), entry.oracle_sql()[name]) == []
@@ -140,18 +140,18 @@ def test_pagerank_converges(spark, folder, nodes_of):
         new = 0.15 / N + 0.85 * np.bincount(tx, weights=to_node[node], minlength=N)
         ranks.append(new + (1 - new.sum()) / N)
         steps.append(np.abs(ranks[-1] - ranks[-2]).sum())
-    got = {r.tx: r.rank_millionths for r in entry.queries()["q_g2_pagerank_converged"](spark, folder).collect()}
-    assert len(steps) > 3 and np.allclose([got[i] for i in range(N)], ranks[-1] * 1e6, rtol=0, atol=2e-6)
+    got = {r.tx: r.rank_millionths for r in entry.queries()["q_g2_pagerank"](spark, folder).collect()}
+    assert len(steps) > 3 and np.allclose([got[i] for i in range(N)], ranks[-1] * 1e6, rtol=0, atol=2e-4)
     assert np.abs(ranks[3] - ranks[-1]).max() * 1e6 > 1e-3  # what three rounds lack
 
 
 def test_rank_correlations_of_all_rates_and_counters(spark, data, folder):
-    from sedimenta.plans.graph_features import _louvain_features
+    from sedimenta.plans.graph_features import _label_features
 
-    f = pd.DataFrame([r.asDict() for r in _louvain_features(spark, folder).collect()]).set_index("tx").sort_index().round(9)
+    f = pd.DataFrame([r.asDict() for r in _label_features(spark, folder, True).collect()]).set_index("tx").sort_index().round(9)
     train = data.index[(data.TransactionDT - 86400) // 86400 <= 118]
     rates = [c for c in f.columns if "fraud_rate" in c]
-    got = {(r.level3_feature, r.c_feature): r.spearman for r in entry.queries()["q_a22_spearman_all"](spark, folder).collect()}
+    got = {(r.level3_feature, r.c_feature): r.spearman for r in entry.queries()["q_a22_spearman_louvain"](spark, folder).collect()}
     assert len(rates) == 4 and set(got) == {(t, c) for t in rates for c in ("C1", "C2", "C5", "C13", "C14")}
     for (t, c), r in got.items():
         if f[t][train].nunique() > 1:  # a constant has no correlation
@@ -161,7 +161,7 @@ def test_rank_correlations_of_all_rates_and_counters(spark, data, folder):
 
 def test_structure_has_every_part(spark, folder):
     q = entry.queries()
-    got = q["q_l6_structure"](spark, folder).cache()
+    got = q["q_l6_with_communities"](spark, folder).cache()
     assert got.count() == N == got.select("tx").distinct().count()
     ours = {r.tx: r for r in got.collect()}
     for name, columns in (("q_a9_degree", None), ("q_a10_cross", None), ("q_a14_activity", None), ("q_g5_cores", ["graph_max_kcore"]), ("q_g4_communities", ["graph_community_size"]), ("q_a12_entropy", None)):
