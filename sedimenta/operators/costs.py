@@ -53,3 +53,32 @@ def sensitivity(curve: DataFrame, days_in_period: int = 31) -> DataFrame:
         "cost_fp", F.col("threshold").alias("optimal_threshold"), "review_rate", "recall", "total_cost", "fn_cost", "fp_cost",
         saved.alias("savings_vs_no_model"), (saved * 30.0 / days_in_period).alias("savings_per_month"), F.try_divide(saved, F.col("no_model")).alias("pct_cost_reduction"),
     )
+
+
+def simulate(sample: DataFrame, label: str, points: str, amount: str, weight: str, thresholds: Sequence[float], cost_fp: float) -> DataFrame:
+    """For each threshold, what a review of all rows with points at or below it finds and costs.
+
+    A row without label 1 stands for ``weight`` rows, a positive for itself.
+    Rows are added up between neighbouring thresholds first.
+    """
+    cuts = sorted({float(t) for t in thresholds})
+    positive = F.col(label) == 1
+    over = F.size(F.filter(F.array(*[F.lit(t) for t in cuts]), lambda t: t < F.col(points)))
+    zero = F.lit(0).cast("long")
+    each = sample.where(F.col(points).isNotNull()).groupBy(over.alias("bin")).agg(
+        F.sum(F.when(~positive, F.col(weight)).otherwise(0.0)).alias("good"), F.sum(F.when(positive, 1).otherwise(0)).alias("bad"), F.sum(F.when(positive, F.col(amount)).otherwise(zero)).alias("amt")
+    )
+    spine = sample.sparkSession.createDataFrame([(i, t) for i, t in enumerate([*cuts, float("inf")])], "bin int, threshold double")
+    dense = spine.join(each, "bin", "left").select("bin", "threshold", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("good", "bad", "amt")])
+    upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # one row per threshold
+    after = Window.orderBy("bin").rowsBetween(1, Window.unboundedFollowing)
+    every = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = dense.select(
+        "bin", "threshold", F.sum("good").over(upto).alias("good"), F.sum("bad").over(upto).alias("bad"), F.coalesce(F.sum("amt").over(after), zero).alias("fn_cost"),
+        (F.sum("good").over(every) + F.sum("bad").over(every)).alias("rows"), F.sum("bad").over(every).alias("all_bad"),
+    )
+    reviewed, fp = F.col("good") + F.col("bad"), F.col("good") * cost_fp
+    return sums.where(F.col("bin") < len(cuts)).select(
+        "threshold", F.try_divide(reviewed, F.col("rows")).alias("review_rate"), F.try_divide("bad", "all_bad").alias("recall"), F.try_divide(F.col("bad"), reviewed).alias("precision"),
+        "fn_cost", fp.alias("fp_cost"), (F.col("fn_cost") + fp).alias("total_cost"),
+    )

@@ -77,23 +77,29 @@ def subgraph_edges(df: DataFrame, key: str, chosen: DataFrame, columns: Sequence
 
 
 def subgraph_documents(df: DataFrame, key: str, label: str, amount: str, edges: DataFrame) -> DataFrame:
-    """One document per anchor: counts, and nodes and edges as arrays; a subgraph has at most as many transactions as chosen for."""
+    """One document per anchor: counts, ``place`` by label rate from high to low (ties by anchor), and nodes and edges as arrays; a subgraph has at most as many transactions as chosen for."""
     rows = df.select(F.col(key).alias("tx"), label, amount)
     e = edges.join(rows, "tx")
     tx_name = F.concat(F.lit("tx"), F.col("tx").cast("string"))
     tx_nodes = e.groupBy("anchor", "tx").agg(F.count("*").alias("degree"), F.first(label).alias("fraud"), F.first(amount).alias("amount"))
-    tx_nodes = tx_nodes.select("anchor", tx_name.alias("id"), F.lit("transaction").alias("kind"), "degree", "fraud", F.round("amount", 2).alias("amount"), F.lit(None).cast("string").alias("label"))
+    tx_nodes = tx_nodes.select("anchor", tx_name.alias("id"), F.lit("transaction").alias("kind"), "degree", "fraud", F.bround("amount", 2).alias("amount"), F.lit(None).cast("string").alias("label"))
     at_nodes = e.groupBy("anchor", "node").agg(F.count("*").alias("degree"))
     at_nodes = at_nodes.select("anchor", F.col("node").alias("id"), F.lit("attribute").alias("kind"), "degree", F.lit(None).cast("long").alias("fraud"), F.lit(None).cast("double").alias("amount"), F.substring(F.regexp_replace("node", r"\A[^=]*=", ""), 1, 24).alias("label"))
     nodes = tx_nodes.unionByName(at_nodes).groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct("id", "kind", "degree", "fraud", "amount", "label"))).alias("nodes"))
     links = e.groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct(tx_name.alias("source"), F.col("node").alias("target")))).alias("edges"))
     hubs = e.where(F.col("node") == F.col("anchor")).groupBy("anchor").agg(F.count("*").alias("n_transactions"), F.sum(label).alias("n_fraud"), F.avg(label).alias("fraud_rate"))
-    return hubs.join(nodes, "anchor").join(links, "anchor")
+    place = F.row_number().over(Window.orderBy(F.col("fraud_rate").desc(), "anchor"))  # as many rows as were chosen
+    return hubs.withColumn("place", place).join(nodes, "anchor").join(links, "anchor")
+
+
+def as_json(df: DataFrame, column: str = "document", keep: Sequence[str] = ()) -> DataFrame:
+    """``keep`` and each row as one compact JSON text, NULL written as null."""
+    return df.select(*keep, F.to_json(F.struct(*[c for c in df.columns if c not in keep]), {"ignoreNullFields": "false"}).alias(column))
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows, the same each time: those with the smallest hash of key and seed."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """``n`` rows, the same each time: those with the smallest MD5 of key and seed, ties by key."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}")).cast("binary")), key).limit(n)
 
 
 def stratified_sample(df: DataFrame, key: str, label: str, most: int = 20_000, seed: int = 42) -> DataFrame:

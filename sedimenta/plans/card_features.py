@@ -77,6 +77,8 @@ _ROLL = f"""WITH {TX_SQL}, daily AS (SELECT card1, tx_day, sum(cents) AS cents F
       CAST(sum(coalesce(d.cents, 0)) OVER (PARTITION BY s.card1 ORDER BY s.tx_day ROWS 29 PRECEDING) AS BIGINT) AS total_30
     FROM spine s LEFT JOIN daily d ON d.card1 = s.card1 AND d.tx_day = s.tx_day)"""
 ORACLE = {
+    "p4_features": f"""{_STATS}, c AS (SELECT DISTINCT card1 FROM tx WHERE card1 IS NOT NULL), f AS (SELECT c.card1, e.event_type_id AS t, n, {LAST_DAY} - last_day AS since, total_cents FROM c CROSS JOIN event_types e LEFT JOIN stats s ON s.card1 = c.card1 AND s.event_type_id = e.event_type_id)
+      SELECT card1, list(coalesce(n, 0) ORDER BY t) AS counts, list(since ORDER BY t) AS days_since, list(coalesce(total_cents, 0) ORDER BY t) AS totals_cents FROM f GROUP BY card1""",
     "p4_stats": f"{_STATS} SELECT * FROM stats",
     "p4_found": f"{_STATS} SELECT card1, event_type_id FROM stats WHERE n >= 3 AND total_cents >= 30000 AND last_day <= 61",
     "p5_rolling": f"{_ROLL} SELECT *, total_7 / 7.0::DOUBLE AS average_7, total_30 / 30.0::DOUBLE AS average_30 FROM roll",

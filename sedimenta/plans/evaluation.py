@@ -15,13 +15,13 @@ from sedimenta.operators import metrics as M
 from sedimenta.operators import quantiles as Q
 from sedimenta.operators import scorecard as S
 from sedimenta.operators import stability as B
-from sedimenta.plans.tabular import SPLIT_SQL, rounded, split_tx, stored_columns
+from sedimenta.operators.reporting import stratified_sample
+from sedimenta.plans.tabular import _REALS, SPLIT_SQL, rounded, split_tx, stored_columns
 from sedimenta.plans.transactions import TX_SQL
 from sedimenta.session import cut_lineage
 
 #: Numbers of the four stand-in models: step, and weight of the label.
 MODELS = {"M1_baseline_noC": (7919, 0.25), "M2_graph_noC": (6323, 0.15), "M3_baseline_full": (104729, 0.3), "M4_graph_full": (1299709, 0.2)}
-CSI = ["TransactionAmt", "dist1", "D1", "D2", "C1", "C13", "V12", "V307"]
 
 
 def _p(model: str = "M1_baseline_noC") -> Column:
@@ -79,11 +79,7 @@ def q_e10_psi_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_e11_csi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(B.characteristic_stability(split_tx(spark, sf_dir, *CSI), "split", "train", "test", CSI), 5)
-
-
-def q_e11_csi_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over every stored number but the label."""
+    """Every stored number but the label."""
     features = [c for c in stored_columns(spark, sf_dir, numbers_only=True) if c != "isFraud"]
     return rounded(B.characteristic_stability(split_tx(spark, sf_dir, *features), "split", "train", "test", features), 5)
 
@@ -114,12 +110,15 @@ def q_e15_calibration_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raw.unionByName(C.calibration_summary(made, "isFraud", "q").withColumn("variant", F.lit("isotonic"))))
 
 
+def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All positives of the test period and a sample of the others, 400 together, with points and ``weight``."""
+    df = scored(spark, sf_dir).where("split = 'test'").select("TransactionID", "isFraud", "cents", F.round(S.probability_to_score(F.col("p")), 6).alias("points"))
+    return stratified_sample(df, "TransactionID", "isFraud", 400)
+
+
 def q_r6_simulate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviewed share, recall, precision and costs if points at or below a threshold are reviewed, for 300, 302, ..., 780."""
-    points = scored(spark, sf_dir).select("isFraud", "cents", (-F.round(S.probability_to_score(F.col("p")), 6)).alias("down"))
-    table = K.threshold_table(points, "isFraud", "down", "cents", [float(-t) for t in range(780, 299, -2)])
-    good = F.col("n_flagged") - F.col("caught")
-    return rounded(table.select((-F.col("threshold")).alias("threshold"), (F.col("n_flagged") / F.col("n_all")).alias("review_rate"), (F.col("caught") / F.col("pos_all")).alias("recall"), F.try_divide("caught", "n_flagged").alias("precision"), F.col("missed_amount").alias("fn_cost"), (good * 500).alias("fp_cost")))
+    """Reviewed share, recall, precision and costs, from a weighted sample, if points at or below 300, 302, ..., 780 are reviewed."""
+    return rounded(K.simulate(_sample(spark, sf_dir), "isFraud", "points", "cents", "weight", range(300, 781, 2), 500.0))
 
 
 def q_r7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,16 +175,30 @@ def _list(xs: list[float]) -> str:
 _CURVE = f"""{_S}, q AS (SELECT DISTINCT unnest(quantile_cont(p, {_quantile_list(200)})) AS threshold FROM s), t AS (SELECT count(*) AS n, sum(isFraud) AS pos, sum(cents) FILTER (isFraud = 1) AS amt FROM s),
   d AS (SELECT p, count(*) AS n, sum(isFraud) AS pos, coalesce(sum(cents) FILTER (isFraud = 1), 0) AS amt FROM s GROUP BY p),
   cv AS (SELECT threshold, coalesce(sum(d.n) FILTER (p >= threshold), 0) AS f, coalesce(sum(d.pos) FILTER (p >= threshold), 0) AS c, coalesce(sum(d.amt) FILTER (p < threshold), 0) AS miss FROM q, d GROUP BY threshold)"""
-_SIM = f"""{_S}, g AS (SELECT isFraud, cents, {_PTS} AS points FROM s), th AS (SELECT CAST(unnest(range(300, 781, 2)) AS DOUBLE) AS threshold), t AS (SELECT count(*) AS n, sum(isFraud) AS pos FROM g),
-  d AS (SELECT points, count(*) AS n, sum(isFraud) AS pos, coalesce(sum(cents) FILTER (isFraud = 1), 0) AS amt FROM g GROUP BY points),
-  m AS (SELECT threshold, coalesce(sum(d.n) FILTER (points <= threshold), 0) AS f, coalesce(sum(d.pos) FILTER (points <= threshold), 0) AS c, coalesce(sum(d.amt) FILTER (points > threshold), 0) AS miss FROM th, d GROUP BY threshold),
-  sim AS (SELECT threshold, round(f / t.n, 6) AS review_rate, round(c / t.pos, 6) AS recall, round(c / nullif(f, 0), 6) AS precision, CAST(miss AS BIGINT) AS fn_cost, CAST((f - c) * 500 AS BIGINT) AS fp_cost FROM m, t)"""
+_SIM = f"""{_S}, te AS (SELECT *, {_PTS} AS points FROM s WHERE split = 'test'), b AS (SELECT count(*) FILTER (isFraud = 0) AS good, count(*) FILTER (isFraud = 1) AS bad FROM te),
+  g AS (SELECT isFraud, cents, points, 1.0::DOUBLE AS weight FROM te WHERE isFraud = 1 UNION ALL (SELECT isFraud, cents, points, good / greatest(0, least(good, 400 - bad))::DOUBLE FROM te, b WHERE isFraud = 0 QUALIFY row_number() OVER (ORDER BY md5(TransactionID || '-42'), TransactionID) <= 400 - bad)),
+  th AS (SELECT CAST(unnest(range(300, 781, 2)) AS DOUBLE) AS threshold), t AS (SELECT sum(weight) AS n, sum(isFraud) AS pos FROM g),
+  d AS (SELECT points, sum(weight) FILTER (isFraud = 0) AS good, sum(isFraud) AS pos, coalesce(sum(cents) FILTER (isFraud = 1), 0) AS amt FROM g GROUP BY points),
+  m AS (SELECT threshold, coalesce(sum(d.good) FILTER (points <= threshold), 0) AS f, coalesce(sum(d.pos) FILTER (points <= threshold), 0) AS c, coalesce(sum(d.amt) FILTER (points > threshold), 0) AS miss FROM th, d GROUP BY threshold),
+  sim AS (SELECT threshold, round((f + c) / t.n, 6) AS review_rate, round(c / t.pos, 6) AS recall, round(c / nullif(f + c, 0), 6) AS precision, CAST(miss AS BIGINT) AS fn_cost, round(f * 500, 6) AS fp_cost, round(miss + f * 500, 6) AS total_cost FROM m, t)"""
+# isotonic regression: of the means of all runs of scores around one, the largest over beginnings of the smallest over ends; between scores a straight line
+_ISO = f"""{_S}, fit AS (SELECT p, isFraud AS y FROM s WHERE {{fit}}), pool AS (SELECT row_number() OVER (ORDER BY p) AS i, p, sum(y)::DOUBLE AS y, count(*)::DOUBLE AS w FROM fit GROUP BY p), pre AS (SELECT *, sum(y) OVER (ORDER BY i) AS sy, sum(w) OVER (ORDER BY i) AS sw FROM pool),
+  pair AS (SELECT a.i AS a, b.i AS b, min((b.sy - a.sy + a.y) / (b.sw - a.sw + a.w)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS m FROM pre a JOIN pre b ON b.i >= a.i), iso AS (SELECT p AS x, v FROM pool JOIN (SELECT b, max(m) AS v FROM pair GROUP BY b) q ON q.b = i),
+  ap AS (SELECT isFraud AS y, p, lo.x AS x0, lo.v AS v0, hi.x AS x1, hi.v AS v1 FROM (SELECT * FROM s WHERE {{judge}}) j ASOF LEFT JOIN iso lo ON j.p >= lo.x ASOF LEFT JOIN iso hi ON j.p <= hi.x),
+  cal AS (SELECT y, p, CASE WHEN x0 IS NULL THEN v1 WHEN x1 IS NULL THEN v0 WHEN x1 > x0 THEN v0 + (v1 - v0) * (p - x0) / (x1 - x0) ELSE v0 END AS q FROM ap)"""
+
+
+def _summary(value: str, source: str) -> str:
+    return f"""SELECT round(sum(abs(p - y)) / sum(n), 6) AS ece, round(sum(b) / sum(n), 6) AS brier, round(sum(p) / sum(n), 6) AS mean_predicted, round(sum(y) / sum(n), 6) AS actual_rate, round((sum(p) - sum(y)) / sum(n), 6) AS bias
+      FROM (SELECT len(list_filter({_list(Q.linspace(0.0, 1.0, 21)[1:-1])}, lambda e: e <= {value})) AS bin, sum({value}) AS p, sum(y) AS y, sum(({value} - y) * ({value} - y)) AS b, count(*) AS n FROM {source} GROUP BY 1)"""
+
+
 _PSI = f"""WITH {TX_SQL}, v AS (SELECT {SPLIT_SQL} AS split, cents::DOUBLE AS v FROM tx), q AS (SELECT list_sort(list_distinct(quantile_cont(v, {_quantile_list(11)}))) AS e FROM v WHERE split = 'train'),
   b AS (SELECT len(list_filter(e[2:len(e) - 1], lambda x: x <= v)) AS bin, split FROM v, q WHERE split IN ('train', 'test')),
   k AS (SELECT unnest(range(len(e) - 1)) AS bin, unnest(e[1:len(e) - 1]) AS bin_min FROM q),
   det AS (SELECT k.bin, k.bin_min, greatest(count(*) FILTER (split = 'train') / (SELECT count(*) FROM b WHERE split = 'train'), 1e-6) AS e, greatest(count(*) FILTER (split = 'test') / (SELECT count(*) FROM b WHERE split = 'test'), 1e-6) AS a FROM k LEFT JOIN b ON b.bin = k.bin GROUP BY ALL)"""
 _CAL = f"{_S}, b AS (SELECT len(list_filter({_list(Q.linspace(0.0, 1.0, 21)[1:-1])}, lambda e: e <= p)) AS bin, p, isFraud AS y FROM s)"
-_CSI = " UNION ALL ".join(f"SELECT {SPLIT_SQL} AS split, '{c}' AS feature, {c}::DOUBLE AS v FROM tx" for c in CSI)
+_CSI = " UNION ALL ".join(f"SELECT {SPLIT_SQL} AS split, '{c}' AS feature, {c}::DOUBLE AS v FROM tx" for c in ["card1", "has_identity", *_REALS])
 ORACLE = {
     "q_e4_evaluate": f"""{_S}{_D} SELECT round((SELECT sum((n - pos) * (cp - pos / 2)) FROM c) / (t.pos * (t.n - t.pos)), 6) AS auc, (SELECT round(greatest(max(cp / (SELECT pos FROM t) - (cn - cp) / (SELECT n - pos FROM t)), 0), 6) FROM c) AS ks,
         round((SELECT sum(pos / (SELECT pos FROM t) * cp / cn) FROM c), 6) AS pr_auc, round(t.pos / t.n, 6) AS rate, t.n::BIGINT AS n, {_at(0.01, '1pct')}, {_at(0.05, '5pct')}, {_at(0.1, '10pct')} FROM t""",
@@ -210,6 +223,8 @@ ORACLE = {
         SELECT x.feature, round(csi, 5) AS csi, CASE WHEN csi < 0.1 THEN 'stabil' WHEN csi < 0.25 THEN 'perlu perhatian' ELSE 'bermasalah' END AS verdict, round(me, 5) AS mean_expected, round(ma, 5) AS mean_actual, round((ma - me) / (abs(me) + 1e-6), 5) AS pct_change FROM x JOIN t ON t.feature = x.feature WHERE ne >= 10 AND na >= 10""",
     "q_e12_calibration": f"{_CAL}, g AS (SELECT bin, sum(p) AS p, sum(y) AS y, sum((p - y) * (p - y)) AS b, count(*) AS n FROM b GROUP BY bin) SELECT round(sum(abs(p - y)) / sum(n), 6) AS ece, round(sum(b) / sum(n), 6) AS brier, round(sum(p) / sum(n), 6) AS mean_predicted, round(sum(y) / sum(n), 6) AS actual_rate, round((sum(p) - sum(y)) / sum(n), 6) AS bias FROM g",
     "q_e13_reliability": f"{_CAL} SELECT bin::INTEGER AS bin, count(*) AS n, round(avg(p), 6) AS mean_predicted, round(avg(y), 6) AS actual_rate FROM b GROUP BY bin",
+    "q_e14_isotonic": _ISO.format(fit="split = 'val'", judge="split = 'test'") + " " + _summary("q", "cal"),
+    "q_e15_calibration_halves": _ISO.format(fit="split = 'val' AND TransactionID <= (SELECT quantile_cont(TransactionID::DOUBLE, 0.5) FROM s WHERE split = 'val')", judge="split = 'val' AND TransactionID > (SELECT quantile_cont(TransactionID::DOUBLE, 0.5) FROM s WHERE split = 'val')") + f", o AS (SELECT 'raw' AS variant, * FROM ({_summary('p', 'cal')}) UNION ALL SELECT 'isotonic', * FROM ({_summary('q', 'cal')})) SELECT * FROM o",
     "q_r6_simulate": f"{_SIM} SELECT * FROM sim",
     "q_r7_nearest": f"{_SIM} SELECT threshold, review_rate, round(abs(review_rate - 0.05::DOUBLE), 6) AS gap FROM sim ORDER BY gap, threshold LIMIT 1",
     "q_r8_histogram": f"{_S} SELECT isFraud, len(list_filter({_list(Q.linspace(0.0, 1.2, 61)[1:-1])}, lambda e: e <= p))::INTEGER AS bin, count(*) AS n FROM s GROUP BY 1, 2",

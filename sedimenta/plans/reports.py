@@ -13,7 +13,7 @@ from sedimenta.operators import metrics as M
 from sedimenta.operators import reporting as R
 from sedimenta.operators.calibration import calibration_summary
 from sedimenta.operators.relational import select_features
-from sedimenta.plans.tabular import _TEXT, SPLIT_SQL, rounded, split_tx, stored_columns, tx
+from sedimenta.plans.tabular import _TEXT, COLUMNS, SPLIT_SQL, rounded, split_tx, stored_columns, tx
 from sedimenta.plans.transactions import TX_SQL
 from sedimenta.session import checkpoint_dir, cut_lineage
 from sedimenta.sources.tables import read_csv, table
@@ -22,7 +22,6 @@ WEIGHTS = ["C1", "C2", "C13", "V12", "V45", "D1", "D2", "dist1", "TransactionAmt
 ANCHORS = ["card1", "DeviceInfo", "addr1"]
 SHOWN = ["card1", "addr1", "DeviceInfo", "P_emaildomain"]
 FEATURES = ["TransactionAmt", "dist1", "C1", "C2", "C13", "C14", "D1", "D2", "D15", "V12", "V87", "V258"]
-DRIFT = ["card2", "addr1", "dist1", "D1", "D2", "D3", "V12", "DeviceInfo"]
 
 
 def q_a20_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,9 +56,10 @@ def q_r3_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_r4_subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The subgraphs as nested documents."""
+    """The subgraphs as JSON documents, with nodes and edges, and their place by label rate."""
     df, edges = _subgraphs(spark, sf_dir)
-    return R.subgraph_documents(df, "TransactionID", "isFraud", "TransactionAmt", edges)
+    documents = R.subgraph_documents(df, "TransactionID", "isFraud", "TransactionAmt", edges).withColumn("fraud_rate", F.bround("fraud_rate", 6))
+    return R.as_json(documents, keep=["anchor", "place"])
 
 
 def q_r1_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,21 +76,21 @@ def q_o4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_o5_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All positives and others up to 20,000 rows of the test period."""
-    df = cut_lineage(split_tx(spark, sf_dir, "isFraud").where("split = 'test'").select("TransactionID", "isFraud"))
-    return R.stratified_sample(df, "TransactionID", "isFraud")
+    return R.stratified_sample(_test_rows(spark, sf_dir), "TransactionID", "isFraud")
 
 
-def q_d1_missing_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing share of columns in the training and the test period."""
-    return _missing_drift(spark, sf_dir, DRIFT)
+def q_o5_stratified_500(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All positives and others up to 500 rows of the test period."""
+    return R.stratified_sample(_test_rows(spark, sf_dir), "TransactionID", "isFraud", 500)
 
 
-def q_d1_missing_drift_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over every stored column."""
-    return _missing_drift(spark, sf_dir, stored_columns(spark, sf_dir))
+def _test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_lineage(split_tx(spark, sf_dir, "isFraud").where("split = 'test'").select("TransactionID", "isFraud"))
 
 
-def _missing_drift(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+def q_d1_missing_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing share of every stored column in the training and the test period."""
+    columns = stored_columns(spark, sf_dir)
     df = split_tx(spark, sf_dir, *columns)
     parts = [x for c in columns for x in (F.lit(c), F.col(c).isNull().cast("int"))]
     long = df.where("split in ('train', 'test')").select("split", F.stack(F.lit(len(columns)), *parts).alias("column_name", "gone"))
@@ -175,7 +175,26 @@ _ENT = f"WITH {TX_SQL}, l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_na
   ch AS (SELECT * FROM (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY rate DESC, value) <= 6) UNION SELECT * FROM (SELECT * FROM st WHERE rate = 0 QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY value) <= 3))"""
 _RT = f"WITH {TX_SQL}, s AS (SELECT *, {SPLIT_SQL} AS split FROM tx)"
 _AUC = " UNION ALL ".join(f"SELECT '{c}' AS column_name, split, isFraud, {c} AS x FROM s WHERE split <> 'gap' AND {c} IS NOT NULL AND NOT isnan({c})" for c in ("C1", "C13"))
+_SHOW = " UNION ALL ".join(f"SELECT TransactionID AS tx, '{c}' AS column_name, {_TEXT.get(c, c)} AS value FROM tx WHERE {c} IS NOT NULL" for c in SHOWN)
+_SUB = f"""{_ENT}, a AS ({_SHOW}), h AS (SELECT ch.column_name || '=' || ch.value AS anchor, ch.column_name AS ac, tx FROM ch JOIN a USING (column_name, value)),
+  o AS (SELECT anchor, a.tx, a.column_name || '=' || a.value AS node FROM h JOIN a ON a.tx = h.tx AND a.column_name <> h.ac), ed AS (SELECT anchor, tx, anchor AS node FROM h UNION ALL SELECT anchor, tx, node FROM o QUALIFY count(*) OVER (PARTITION BY anchor, node) > 1)"""
+
+
+def _strata(most: int) -> str:
+    return f"""{_RT}, te AS (SELECT TransactionID, isFraud FROM s WHERE split = 'test'), b AS (SELECT count(*) FILTER (isFraud = 0) AS good, count(*) FILTER (isFraud = 1) AS bad FROM te)
+      SELECT TransactionID, isFraud, 1.0::DOUBLE AS weight FROM te WHERE isFraud = 1 UNION ALL (SELECT TransactionID, isFraud, good / greatest(0, least(good, {most} - bad))::DOUBLE FROM te, b WHERE isFraud = 0 QUALIFY row_number() OVER (ORDER BY md5(TransactionID || '-42'), TransactionID) <= {most} - bad)"""
+
+
 ORACLE = {
+    "q_o4_sample": f"WITH {TX_SQL} SELECT TransactionID, isFraud FROM tx ORDER BY md5(TransactionID || '-42'), TransactionID LIMIT 1000",
+    "q_o5_stratified": _strata(20_000),
+    "q_o5_stratified_500": _strata(500),
+    "q_r4_subgraphs": f"""{_SUB}, r AS (SELECT ed.*, isFraud, TransactionAmt FROM ed JOIN tx ON TransactionID = ed.tx),
+        nd AS (SELECT anchor, 'tx' || tx AS id, 'transaction' AS kind, count(*) AS degree, any_value(isFraud) AS fraud, round_even(any_value(TransactionAmt), 2) AS amount, NULL AS label FROM r GROUP BY anchor, tx
+          UNION ALL SELECT anchor, node, 'attribute', count(*), NULL, NULL, left(regexp_replace(node, '^[^=]*=', ''), 24) FROM r GROUP BY anchor, node),
+        hu AS (SELECT anchor, count(*) AS n_transactions, sum(isFraud)::BIGINT AS n_fraud, avg(isFraud) AS rate FROM r WHERE node = anchor GROUP BY anchor),
+        ns AS (SELECT anchor, list({{'id': id, 'kind': kind, 'degree': degree, 'fraud': fraud, 'amount': amount, 'label': label}} ORDER BY id) AS nodes FROM nd GROUP BY anchor), es AS (SELECT anchor, list({{'source': 'tx' || tx, 'target': node}} ORDER BY 'tx' || tx, node) AS edges FROM r GROUP BY anchor)
+        SELECT hu.anchor, row_number() OVER (ORDER BY rate DESC, hu.anchor)::INTEGER AS place, to_json({{'n_transactions': n_transactions, 'n_fraud': n_fraud, 'fraud_rate': round_even(rate, 6), 'nodes': nodes, 'edges': edges}})::VARCHAR AS document FROM hu JOIN ns ON ns.anchor = hu.anchor JOIN es ON es.anchor = hu.anchor""",
     "q_s1_csv": "SELECT load_id, file_name, n_rows FROM loads",
     "q_u1_union": "SELECT load_id, n_rows, NULL AS split_name, NULL AS target_share FROM loads UNION ALL SELECT NULL, NULL, split_name, target_share FROM split_targets",
     "q_a20_importance": f"{_IMP} SELECT feature, round(mean_abs, 6) AS mean_abs, feature_group, place FROM imp",
@@ -183,12 +202,9 @@ ORACLE = {
     "q_m5_decision": f"{_IMP}, d AS (SELECT max(mean_abs) FILTER (feature = 'C13') AS w, max(place) FILTER (feature = 'C13') AS p, max(mean_abs) FILTER (feature = 'C1') AS b FROM imp) SELECT round(w, 6) AS weight, p AS place, round(w / b, 6) AS ratio, (w / b < 0.2 OR p > 50) AS dropped FROM d",
     "q_a24_keep_last": "SELECT card1, TransactionID, load_id FROM (SELECT DISTINCT card1, TransactionID, load_id, loaded_at FROM merged_train) QUALIFY row_number() OVER (PARTITION BY card1 ORDER BY loaded_at DESC, TransactionID DESC) = 1",
     "q_a23_entities": f"{_ENT} SELECT column_name, value, n, round(rate, 6) AS rate FROM ch",
-    "q_r3_edges": f"""{_ENT}, a AS (""" + " UNION ALL ".join(f"SELECT TransactionID AS tx, '{c}' AS column_name, {_TEXT.get(c, c)} AS value FROM tx WHERE {c} IS NOT NULL" for c in SHOWN) + """),
-        h AS (SELECT ch.column_name || '=' || ch.value AS anchor, ch.column_name AS ac, tx FROM ch JOIN a USING (column_name, value)),
-        o AS (SELECT anchor, a.tx, a.column_name || '=' || a.value AS node FROM h JOIN a ON a.tx = h.tx AND a.column_name <> h.ac)
-        SELECT anchor, tx, anchor AS node FROM h UNION ALL SELECT anchor, tx, node FROM o QUALIFY count(*) OVER (PARTITION BY anchor, node) > 1""",
+    "q_r3_edges": f"{_SUB} SELECT anchor, tx, node FROM ed",
     "q_r1_json": f"""WITH {TX_SQL} SELECT '{{"week":' || tx_week || ',"n":' || count(*) || ',"n_fraud":' || sum(isFraud) || '}}' AS document FROM tx GROUP BY tx_week""",
-    "q_d1_missing_drift": f"{_RT}, l AS (" + " UNION ALL ".join(f"SELECT split, '{c}' AS column_name, ({c} IS NULL)::INTEGER AS g FROM s" for c in DRIFT) + ") SELECT column_name, round(avg(g) FILTER (split = 'train'), 6) AS train, round(avg(g) FILTER (split = 'test'), 6) AS test, round(avg(g) FILTER (split = 'test') - avg(g) FILTER (split = 'train'), 6) AS change FROM l GROUP BY 1",
+    "q_d1_missing_drift": f"{_RT}, l AS (" + " UNION ALL ".join(f"SELECT split, '{c}' AS column_name, ({c} IS NULL)::INTEGER AS g FROM s" for c in COLUMNS) + ") SELECT column_name, round(avg(g) FILTER (split = 'train'), 6) AS train, round(avg(g) FILTER (split = 'test'), 6) AS test, round(avg(g) FILTER (split = 'test') - avg(g) FILTER (split = 'train'), 6) AS change FROM l GROUP BY 1",
     "q_d4_univariate": f"""{_RT}, m AS ({_AUC}), d AS (SELECT column_name, split, x, count(*) AS n, sum(isFraud) AS pos FROM m GROUP BY ALL), c AS (SELECT *, sum(pos) OVER (PARTITION BY column_name, split ORDER BY x DESC) AS cp, sum(n) OVER (PARTITION BY column_name, split) AS tn, sum(pos) OVER (PARTITION BY column_name, split) AS tp FROM d)
         SELECT column_name, split, round(sum((n - pos) * (cp - pos / 2)) / nullif(any_value(tp::DOUBLE * (tn - tp)), 0), 6) AS auc, any_value(tn)::BIGINT AS n FROM c GROUP BY 1, 2""",
 }

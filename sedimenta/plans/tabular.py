@@ -13,8 +13,8 @@ from sedimenta.operators import temporal as T
 from sedimenta.plans.transactions import TX_SQL, latest
 from sedimenta.sources.tables import nan_to_null, normalise_identity_columns, table
 
+# The columns whose values are nodes.
 NODES = ["card1", "addr1", "DeviceInfo", "P_emaildomain", "R_emaildomain", "id_30", "id_31"]
-NULLABLE = ["card2", "addr1", "dist1", "dist2", "D1", "D2", "D3", "D4", "M1", "M4", "V12", "V45", "id_30", "id_31", "DeviceType", "DeviceInfo"]
 SPLIT_SQL = "CASE WHEN tx_day <= 118 THEN 'train' WHEN tx_day <= 125 THEN 'gap' WHEN tx_day <= 150 THEN 'val' ELSE 'test' END"
 
 
@@ -113,20 +113,18 @@ def q_a4_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.coverage_across_periods(split_tx(spark, sf_dir, *NODES), NODES, "split", "train", ["val", "test"]))
 
 
-def q_a5_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.missing_pattern_groups(tx(spark, sf_dir, *NULLABLE), NULLABLE, "TransactionID")
-
-
 def stored_columns(spark: SparkSession, sf_dir: str, numbers_only: bool = False) -> list[str]:
     """Columns of merged_train but the key, the time that splits it and the load's own two."""
     kinds = dict(table(spark, sf_dir, "merged_train").dtypes)
     return [c for c, k in kinds.items() if c not in ("TransactionID", "TransactionDT", "load_id", "loaded_at") and not (numbers_only and k == "string")]
 
 
-def q_a5_missing_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over every stored column."""
+def q_a5_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over every stored column and those derived from one: the client's start day, the amount's features, the unified sender domain."""
     columns = stored_columns(spark, sf_dir)
-    return P.missing_pattern_groups(tx(spark, sf_dir, *columns), columns, "TransactionID")
+    df = tx(spark, sf_dir, "TransactionDT", *columns)
+    derived = {"start_day": D.day_of(F.col("TransactionDT")) - F.col("D1"), **E.amount_features(F.col("TransactionAmt")), "domain": D.unified_domain(F.col("P_emaildomain"))}
+    return P.missing_pattern_groups(df.withColumns(derived), [*columns, *derived], "TransactionID")
 
 
 def q_a7_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +166,9 @@ _INTS = "card1 has_identity load_id".split()
 _REALS = "TransactionAmt card2 card3 card5 addr1 addr2 dist1 dist2 C1 C2 C5 C13 C14 D1 D2 D3 D4 D10 D15 V12 V45 V87 V258 V307".split()
 _NARROW = [f"SELECT '{c}' AS column_name, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high, CASE WHEN min({c}) >= -128 AND max({c}) < 128 THEN 'tinyint' WHEN min({c}) >= -32768 AND max({c}) < 32768 THEN 'smallint' WHEN min({c}) >= -2147483648 AND max({c}) < 2147483648 THEN 'int' ELSE 'bigint' END AS target_type FROM merged_train" for c in _INTS]
 _NARROW += [f"SELECT '{c}', min({c}) FILTER (isfinite({c})), max({c}) FILTER (isfinite({c})), 'float' FROM merged_train" for c in _REALS]
+#: Stored columns, for the SQL.
+TEXTS = "ProductCD card4 card6 P_emaildomain R_emaildomain M1 M4 M6 id_30 id_31 DeviceType DeviceInfo".split()
+COLUMNS = ["isFraud", "card1", "has_identity", *_REALS, *TEXTS]
 ORACLE = {
     "q_s2_scan": "SELECT TransactionID, TransactionAmt, load_id FROM merged_train WHERE TransactionAmt > 500",
     "q_j1_identity_join": f"WITH {TX_SQL}, i AS (SELECT DISTINCT * FROM train_identity) SELECT tx.TransactionID, i.id_01, i.id_02, i.id_12, i.id_33, i.DeviceType, CAST(i.TransactionID IS NOT NULL AS INTEGER) AS has_row FROM tx LEFT JOIN i ON i.TransactionID = tx.TransactionID",
@@ -192,7 +193,7 @@ ORACLE = {
     "q_a4_coverage": f"""{_W}{_LONG}, tr AS (SELECT column_name, value FROM counts WHERE split = 'train' AND value IS NOT NULL)
         SELECT c.column_name, c.split, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_unique, round(coalesce(sum(n) FILTER (tr.value IS NOT NULL), 0) / sum(n), 6) AS pct_rows_covered, round(count(tr.value) / count(*), 6) AS pct_values_covered
         FROM counts c LEFT JOIN tr ON tr.column_name = c.column_name AND tr.value = c.value WHERE c.split IN ('val', 'test') AND c.value IS NOT NULL GROUP BY 1, 2""",
-    "q_a5_missing": f"WITH {TX_SQL}, p AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS n_missing, bit_xor(CASE WHEN {c} IS NULL THEN hash(TransactionID) ELSE 0::UBIGINT END) AS x FROM tx" for c in NULLABLE) + ") SELECT string_agg(column_name, ',' ORDER BY column_name) AS columns, count(*) AS n_columns, n_missing FROM p GROUP BY n_missing, x HAVING count(*) >= 2",
+    "q_a5_missing": f"WITH {TX_SQL}, x AS (SELECT *, tx_day - D1 AS start_day, TransactionAmt AS amt_log, TransactionAmt AS amt_decimal FROM tx), p AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS n_missing, bit_xor(CASE WHEN {c} IS NULL THEN hash(TransactionID) ELSE 0::UBIGINT END) AS x FROM x" for c in [*COLUMNS, "start_day", "amt_log", "amt_decimal", "domain"]) + ") SELECT string_agg(column_name, ',' ORDER BY column_name) AS columns, count(*) AS n_columns, n_missing FROM p GROUP BY n_missing, x HAVING count(*) >= 2",
     "q_a7_frequency": f"{_W}, a AS (SELECT card1, count(*) AS n FROM s WHERE split = 'train' GROUP BY 1), b AS (SELECT DeviceInfo, count(*) AS n FROM s WHERE split = 'train' GROUP BY 1) SELECT TransactionID, coalesce(a.n, 0) AS freq_card1, coalesce(b.n, 0) AS freq_DeviceInfo FROM s LEFT JOIN a ON a.card1 = s.card1 LEFT JOIN b ON b.DeviceInfo = s.DeviceInfo",
     "q_a8_group_stats": f"{_W}, a AS (SELECT card1, avg(TransactionAmt) AS m, stddev_samp(TransactionAmt) AS d FROM s WHERE split = 'train' GROUP BY 1) SELECT TransactionID, round(m, 9) AS TransactionAmt_card1_mean, round(d, 9) AS TransactionAmt_card1_std, round(TransactionAmt / nullif(m, 0), 9) AS TransactionAmt_card1_ratio FROM s LEFT JOIN a ON a.card1 = s.card1",
     "q_w5_codes": f"{_W}, a AS (SELECT P_emaildomain, row_number() OVER (ORDER BY P_emaildomain COLLATE C) - 1 AS c FROM (SELECT DISTINCT P_emaildomain FROM s WHERE split = 'train' AND P_emaildomain IS NOT NULL)) SELECT TransactionID, coalesce(c, -1) AS le_P_emaildomain FROM s LEFT JOIN a ON a.P_emaildomain = s.P_emaildomain".replace(" COLLATE C", ""),

@@ -143,3 +143,17 @@ def test_samples_are_the_same_each_time(spark):
     sample = reporting.stratified_sample(df, "k", "y", 220)
     assert (sample.where("y = 1").count(), sample.count()) == (100, 220) and sample.agg(F.sum("weight")).first()[0] == pytest.approx(700)
     assert reporting.stratified_sample(df, "k", "y", 10).where("y = 0").count() == 0
+
+
+def test_simulation_counts_good_rows_by_weight(spark):
+    from sedimenta.operators import costs
+
+    data = [(1, 310.0, 700, 1.0), (0, 320.0, 50, 2.5), (0, 400.0, 60, 2.5), (1, 400.0, 900, 1.0), (0, 700.0, 10, 2.5)]
+    df = spark.createDataFrame(data, "y int, points double, cents long, w double")
+    for r in costs.simulate(df, "y", "points", "cents", "w", [300, 320, 400, 800], 3.0).collect():
+        good = sum(w for y, p, _, w in data if not y and p <= r.threshold)
+        bad = sum(y for y, p, *_ in data if p <= r.threshold)
+        missed = sum(c for y, p, c, _ in data if y and p > r.threshold)
+        assert (r.review_rate, r.recall, r.fn_cost, r.total_cost) == pytest.approx(((good + bad) / 9.5, bad / 2, missed, missed + 3 * good))
+        assert r.precision == (pytest.approx(bad / (good + bad)) if good + bad else None)
+    assert costs.simulate(df.limit(0), "y", "points", "cents", "w", [300], 3.0).first().review_rate is None

@@ -173,20 +173,16 @@ def test_structure_has_every_part(spark, folder):
     assert sum(r.graph_pagerank for r in ours.values()) == pytest.approx(1, abs=1e-5)
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
-def test_all_weights_of_positives(spark):
-    assert {r.positive_weight for r in entry.queries()["q_m3_weights"](spark, "/root/testdata/sf0.001").collect()} == {1.0, 5.0, 27.6}
-
-
 def test_every_stored_column_is_looked_at(spark, data, folder):
     q, columns = entry.queries(), [c for c in data if c not in ("TransactionID", "TransactionDT", "load_id", "loaded_at")]
+    derived = {"start_day": "D1", "amt_log": "TransactionAmt", "amt_decimal": "TransactionAmt", "domain": "P_emaildomain"}
     groups = {}
-    for c in columns:
-        groups.setdefault(tuple(data[c].isna()), []).append(c)
-    got = {(r.columns, r.n_missing) for r in q["q_a5_missing_all"](spark, folder).collect()}
+    for c in [*columns, *derived]:
+        groups.setdefault(tuple(data[derived.get(c, c)].isna()), []).append(c)
+    got = {(r.columns, r.n_missing) for r in q["q_a5_missing"](spark, folder).collect()}
     assert got == {(",".join(sorted(c)), sum(k)) for k, c in groups.items() if len(c) > 1}
     days = (data.TransactionDT - 86400) // 86400
-    drift = {r.column_name: (r.train, r.test) for r in q["q_d1_missing_drift_all"](spark, folder).collect()}
+    drift = {r.column_name: (r.train, r.test) for r in q["q_d1_missing_drift"](spark, folder).collect()}
     assert set(drift) == set(columns)
     assert all(drift[c] == pytest.approx((data[c][days <= 118].isna().mean(), data[c][days > 150].isna().mean()), abs=1e-6) for c in columns)
-    assert {r.feature for r in q["q_e11_csi_all"](spark, folder).collect()} >= {"TransactionAmt", "card1", "D1", "C1", "C2", "C5", "C13", "C14"}
+    assert {r.feature for r in q["q_e11_csi"](spark, folder).collect()} >= {"TransactionAmt", "card1", "D1", "C1", "C2", "C5", "C13", "C14"}
