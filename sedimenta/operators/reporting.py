@@ -129,7 +129,7 @@ def log_experiment(
     """
     row = {"timestamp": datetime.now(timezone.utc).isoformat(timespec="milliseconds"), "name": name, "feature_set": feature_set, "param_hash": parameter_hash(parameters)}
     row |= {"n_features": n_features, "trees": trees, "positive_weight": positive_weight, "notes": notes}
-    row |= {f"val_{k}": v for k, v in val.items()} | {f"test_{k}": v for k, v in (test or {}).items()}
+    row |= {f"{period}_{k}": None if v is None else float(v) for period, found in (("val", val), ("test", test or {})) for k, v in found.items()}
     kinds = ", ".join(f"`{k}` {_log_kind(k)}" for k in row)
     spark.createDataFrame([tuple(row.values())], kinds).coalesce(1).write.mode("append").option("header", True).option("escape", '"').csv(f"{path}/{row['param_hash']}-{uuid.uuid4().hex}")
     return read_log(spark, path)

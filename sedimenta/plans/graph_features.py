@@ -187,32 +187,46 @@ def q_l5_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_label_features(spark, sf_dir, True))
 
 
-def _structure(spark: SparkSession, sf_dir: str, communities: bool) -> DataFrame:
-    """Degrees, cross-cardinality and entropy of all nodes; counts, PageRank, components and cores of capped ones; client activity; communities if asked for."""
-    e, keys = _edges(spark, sf_dir)
-    capped = cut_lineage(G.cap_degrees(e, CAP))
+def _structure(spark: SparkSession, sf_dir: str, e: DataFrame, capped: DataFrame, keys: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Degrees, cross-cardinality and entropy of all nodes; counts, PageRank, components and cores of capped ones; client activity; sizes of communities, if given."""
     named = lambda df: df.withColumnRenamed("TransactionID", "tx")
     parts = [
         named(q_a9_degree(spark, sf_dir)), named(q_a10_cross(spark, sf_dir)), G.neighbour_counts(capped, keys), G.attribute_entropy(e, keys),
         I.pagerank(capped, keys).withColumnRenamed("rank", "graph_pagerank"), I.component_sizes(capped, keys), _cores(capped, keys), named(_activity(spark, sf_dir)),
     ]
-    if communities:
-        parts.append(_community_sizes(capped, keys, cut_lineage(_communities(capped))))
+    if nodes is not None:
+        parts.append(_community_sizes(capped, keys, nodes))
     out = keys
     for part in parts:
         out = out.join(part, "tx")
     return out
 
 
+def _graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All edges, those of capped nodes, and all keys."""
+    e, keys = _edges(spark, sf_dir)
+    return e, cut_lineage(G.cap_degrees(e, CAP)), keys
+
+
+def graph_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All structural and label features, with communities found in the graph once for both."""
+    e, capped, keys = _graphs(spark, sf_dir)
+    nodes = cut_lineage(_communities(capped))
+    clients = _clients(spark, sf_dir).select(F.col("TransactionID").alias("tx"), "client")
+    labels = L.label_features(capped, _values(spark, sf_dir), _community_of(capped, keys, nodes), clients)
+    return _structure(spark, sf_dir, e, capped, keys, nodes).join(labels, "tx")
+
+
 def q_l6_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structural features together, all but the communities."""
-    out = _structure(spark, sf_dir, False)
+    out = _structure(spark, sf_dir, *_graphs(spark, sf_dir))
     return rounded(out.withColumn("graph_pagerank", F.round(F.col("graph_pagerank") * 1e6, 4)))
 
 
 def q_l6_with_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structural features together."""
-    return _structure(spark, sf_dir, True)
+    e, capped, keys = _graphs(spark, sf_dir)
+    return _structure(spark, sf_dir, e, capped, keys, cut_lineage(_communities(capped)))
 
 
 COUNTERS = ["C1", "C2", "C5", "C13", "C14"]

@@ -8,11 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions import domain as D
-from sedimenta.operators import boosting as X
 from sedimenta.operators import metrics as M
 from sedimenta.operators import reporting as R
-from sedimenta.operators.calibration import calibration_summary
-from sedimenta.operators.relational import select_features
 from sedimenta.plans.tabular import _TEXT, COLUMNS, SPLIT_SQL, rounded, split_tx, stored_columns, tx
 from sedimenta.plans.transactions import TX_SQL
 from sedimenta.session import checkpoint_dir, cut_lineage
@@ -21,7 +18,6 @@ from sedimenta.sources.tables import read_csv, table
 WEIGHTS = ["C1", "C2", "C13", "V12", "V45", "D1", "D2", "dist1", "TransactionAmt"]
 ANCHORS = ["card1", "DeviceInfo", "addr1"]
 SHOWN = ["card1", "addr1", "DeviceInfo", "P_emaildomain"]
-FEATURES = ["TransactionAmt", "dist1", "C1", "C2", "C13", "C14", "D1", "D2", "D15", "V12", "V87", "V258"]
 
 
 def q_a20_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,50 +105,6 @@ def q_d4_univariate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out)
 
 
-def _models(spark: SparkSession, sf_dir: str, weight: float = 1.0) -> tuple:
-    df = cut_lineage(split_tx(spark, sf_dir, "isFraud", *FEATURES).where("split <> 'gap'"))
-    fit = df.where("split in ('train', 'val')").withColumn("is_val", F.col("split") == "val")
-    return df, X.train_boosted(fit, FEATURES, "isFraud", "is_val", weight)
-
-
-def q_m1_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trees fitted on the training period, stopped on the validation period, judged on the test period."""
-    df, model = _models(spark, sf_dir)
-    scored = cut_lineage(X.predict(model, df.where("split = 'test'"), FEATURES).select("TransactionID", "isFraud", "p"))
-    return rounded(M.evaluate(scored, "TransactionID", "isFraud", "p"))
-
-
-def q_m3_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calibration on the validation period for three weights of positives."""
-    out = None
-    for w in (1.0, 5.0, 27.6):
-        df, model = _models(spark, sf_dir, w)
-        one = calibration_summary(X.predict(model, df.where("split = 'val'"), FEATURES), "isFraud", "p").withColumn("positive_weight", F.lit(w))
-        out = one if out is None else out.unionByName(one)
-    return rounded(out)
-
-
-def q_m4_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Importance of features by what the prediction loses without them, on a seeded sample of validation rows."""
-    df, model = _models(spark, sf_dir)
-    sample = cut_lineage(R.hash_sample(df.where("split = 'val'"), "TransactionID", 2000).select("TransactionID", *FEATURES))
-    return rounded(R.importance_table(X.permutation_contributions(model, sample, "TransactionID", FEATURES), FEATURES))
-
-
-def q_m6_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Models with and without the C block: chosen on the validation period, both judged on the test period once."""
-    df = cut_lineage(split_tx(spark, sf_dir, "isFraud", *FEATURES).where("split <> 'gap'"))
-    fit = df.where("split in ('train', 'val')").withColumn("is_val", F.col("split") == "val")
-    out = None
-    for name, blocks in (("with_c", ["base", "D", "C", "V"]), ("without_c", ["base", "D", "V"])):
-        features = select_features(FEATURES, blocks)
-        scored = cut_lineage(X.predict(X.train_boosted(fit, features, "isFraud", "is_val", rounds=10), df.where("split <> 'train'"), features).select("TransactionID", "isFraud", "split", "p"))
-        for period in ("val", "test"):
-            one = M.evaluate(scored.where(F.col("split") == period), "TransactionID", "isFraud", "p").withColumns({"model": F.lit(name), "period": F.lit(period), "parameters": F.lit(R.parameter_hash({"blocks": blocks, "rounds": 10}))})
-            out = one if out is None else out.unionByName(one)
-    return rounded(out)
-
-
 def q_s1_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The loads written as CSV to the shared folder and scanned again under a schema."""
     path = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"

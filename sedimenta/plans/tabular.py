@@ -10,6 +10,7 @@ from sedimenta.operators import encoders as E
 from sedimenta.operators import profiling as P
 from sedimenta.operators import relational as R
 from sedimenta.operators import temporal as T
+from sedimenta.operators.feature_matrix import MatrixConfig, feature_matrix
 from sedimenta.plans.transactions import TX_SQL, latest
 from sedimenta.sources.tables import nan_to_null, normalise_identity_columns, table
 
@@ -146,15 +147,15 @@ def q_w5_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.apply_label_codes(df, E.fit_label_codes(df.where("split = 'train'"), "P_emaildomain"), "P_emaildomain").select("TransactionID", "le_P_emaildomain")
 
 
+def matrix(spark: SparkSession, sf_dir: str, config: MatrixConfig = MatrixConfig()) -> DataFrame:
+    """The feature matrix of the stored columns, with label, day and split."""
+    stored = table(spark, sf_dir, "merged_train").columns
+    df = T.add_time_features(split_tx(spark, sf_dir, "isFraud", *config.needed(stored)), "TransactionDT")
+    return feature_matrix(df, "TransactionID", ["isFraud", "tx_day", "split"], F.col("split") == "train", config)
+
+
 def q_r11_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature matrix: time, amount, codes, frequencies and entity statistics, by key."""
-    df = T.add_time_features(split_tx(spark, sf_dir, "TransactionAmt", "ProductCD", "card1", "addr1", "dist1"), "TransactionDT")
-    train = df.where("split = 'train'")
-    fitted = [E.fit_label_codes(train, "ProductCD"), E.fit_frequency(train, "addr1"), E.fit_group_stats(train, "addr1", "TransactionAmt", ["mean"])]
-    df = E.apply_label_codes(df, fitted[0], "ProductCD")
-    df = E.apply_frequency(df, fitted[1], "addr1")
-    df = E.apply_group_stats(df, fitted[2], "addr1", "TransactionAmt")
-    return rounded(df.select("TransactionID", "split", "hour", "dayofweek", "le_ProductCD", "freq_addr1", "TransactionAmt_addr1_mean", "TransactionAmt_addr1_ratio", "dist1"), 9)
+    return rounded(matrix(spark, sf_dir), 9)
 
 
 QUERIES = {n: q for n, q in list(globals().items()) if n.startswith("q_")}
@@ -166,6 +167,24 @@ _INTS = "card1 has_identity load_id".split()
 _REALS = "TransactionAmt card2 card3 card5 addr1 addr2 dist1 dist2 C1 C2 C5 C13 C14 D1 D2 D3 D4 D10 D15 V12 V45 V87 V258 V307".split()
 _NARROW = [f"SELECT '{c}' AS column_name, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high, CASE WHEN min({c}) >= -128 AND max({c}) < 128 THEN 'tinyint' WHEN min({c}) >= -32768 AND max({c}) < 32768 THEN 'smallint' WHEN min({c}) >= -2147483648 AND max({c}) < 2147483648 THEN 'int' ELSE 'bigint' END AS target_type FROM merged_train" for c in _INTS]
 _NARROW += [f"SELECT '{c}', min({c}) FILTER (isfinite({c})), max({c}) FILTER (isfinite({c})), 'float' FROM merged_train" for c in _REALS]
+
+
+def _matrix_sql() -> str:
+    """One dictionary for each encoded column, each joined by itself."""
+    config = MatrixConfig()
+    stored = ["card1", "has_identity", *_REALS, *TEXTS]
+    labels, frequencies = ([c for c in cs if c in stored] for cs in (config.label_encode, config.frequency_encode))
+    ctes, joins, out = [], [], ["s.TransactionID", "isFraud", "tx_day", "split", "CAST(floor(TransactionDT / 3600.0) AS BIGINT) % 24 AS hour", "tx_day % 7 AS dayofweek", "round(ln(1 + TransactionAmt), 9) AS amt_log", "round(TransactionAmt - floor(TransactionAmt), 9) AS amt_decimal"]
+    for c in dict.fromkeys([*labels, *frequencies, *config.groups]):
+        ctes.append(f"d_{c} AS (SELECT {c} AS v, count(*) AS n, row_number() OVER (ORDER BY {c}) - 1 AS code, avg(TransactionAmt) AS m, stddev_samp(TransactionAmt) AS d FROM s WHERE split = 'train' AND {c} IS NOT NULL GROUP BY {c})")
+        joins.append(f"LEFT JOIN d_{c} ON d_{c}.v = s.{c}")
+    out += [f"coalesce(d_{c}.code, -1) AS le_{c}" for c in labels] + [f"coalesce(d_{c}.n, 0) AS freq_{c}" for c in frequencies]
+    for c in config.groups:
+        out += [f"round(d_{c}.m, 9) AS TransactionAmt_{c}_mean", f"round(d_{c}.d, 9) AS TransactionAmt_{c}_std", f"round(TransactionAmt / nullif(d_{c}.m, 0), 9) AS TransactionAmt_{c}_ratio"]
+    out += [f"round(s.{c}, 9) AS {c}" if c in _REALS else f"s.{c}" for c in config.raw_columns(stored)]
+    return f"{_W}, {', '.join(ctes)} SELECT {', '.join(out)} FROM s {' '.join(joins)}"
+
+
 #: Stored columns, for the SQL.
 TEXTS = "ProductCD card4 card6 P_emaildomain R_emaildomain M1 M4 M6 id_30 id_31 DeviceType DeviceInfo".split()
 COLUMNS = ["isFraud", "card1", "has_identity", *_REALS, *TEXTS]
@@ -197,8 +216,5 @@ ORACLE = {
     "q_a7_frequency": f"{_W}, a AS (SELECT card1, count(*) AS n FROM s WHERE split = 'train' GROUP BY 1), b AS (SELECT DeviceInfo, count(*) AS n FROM s WHERE split = 'train' GROUP BY 1) SELECT TransactionID, coalesce(a.n, 0) AS freq_card1, coalesce(b.n, 0) AS freq_DeviceInfo FROM s LEFT JOIN a ON a.card1 = s.card1 LEFT JOIN b ON b.DeviceInfo = s.DeviceInfo",
     "q_a8_group_stats": f"{_W}, a AS (SELECT card1, avg(TransactionAmt) AS m, stddev_samp(TransactionAmt) AS d FROM s WHERE split = 'train' GROUP BY 1) SELECT TransactionID, round(m, 9) AS TransactionAmt_card1_mean, round(d, 9) AS TransactionAmt_card1_std, round(TransactionAmt / nullif(m, 0), 9) AS TransactionAmt_card1_ratio FROM s LEFT JOIN a ON a.card1 = s.card1",
     "q_w5_codes": f"{_W}, a AS (SELECT P_emaildomain, row_number() OVER (ORDER BY P_emaildomain COLLATE C) - 1 AS c FROM (SELECT DISTINCT P_emaildomain FROM s WHERE split = 'train' AND P_emaildomain IS NOT NULL)) SELECT TransactionID, coalesce(c, -1) AS le_P_emaildomain FROM s LEFT JOIN a ON a.P_emaildomain = s.P_emaildomain".replace(" COLLATE C", ""),
-    "q_r11_matrix": f"""{_W}, a AS (SELECT ProductCD, row_number() OVER (ORDER BY ProductCD) - 1 AS c FROM (SELECT DISTINCT ProductCD FROM s WHERE split = 'train' AND ProductCD IS NOT NULL)),
-        b AS (SELECT addr1, count(*) AS n, avg(TransactionAmt) AS m FROM s WHERE split = 'train' AND addr1 IS NOT NULL GROUP BY 1)
-        SELECT TransactionID, split, CAST(floor(TransactionDT / 3600.0) AS BIGINT) % 24 AS hour, tx_day % 7 AS dayofweek, coalesce(c, -1) AS le_ProductCD, coalesce(n, 0) AS freq_addr1, round(m, 9) AS TransactionAmt_addr1_mean, round(TransactionAmt / nullif(m, 0), 9) AS TransactionAmt_addr1_ratio, round(dist1, 9) AS dist1
-        FROM s LEFT JOIN a ON a.ProductCD = s.ProductCD LEFT JOIN b ON b.addr1 = s.addr1""",
+    "q_r11_matrix": _matrix_sql(),
 }
