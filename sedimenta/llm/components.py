@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sedimenta.session import Rounds
@@ -16,22 +16,31 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     replaced by their parents twice (a join with itself each), and the links
     are rewritten to the new parents; links within one node go away. A
     component's smallest node is never rewritten, so it is what remains. The
-    rounds end when no link is left. Each round's tables are written to the
-    shared checkpoint folder. Links with a NULL end or equal ends join nothing
-    and are left out; repeated links count once.
+    rounds end when no link is left. A round writes two tables to the shared
+    checkpoint folder, the parents, and the links that are left with the roots
+    so far; the links are counted as they are written. Links with a NULL end or
+    equal ends join nothing and are left out; repeated links count once.
     """
-    proper = links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    proper = links.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull() & (F.col("x") < F.col("y"))).distinct()
     tables = Rounds(links.sparkSession)
-    edges = tables.write("edges", proper.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") < F.col("b"))).distinct())
-    roots = tables.write("roots", edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")))
-    while not edges.isEmpty():
+    ends = proper.select(F.explode(F.array("x", "y")).alias("x")).distinct()
+    state, left = _written(tables, proper, ends.select("x", F.col("x").alias("y")))
+    while left:
+        edges = state.where("edge").select(F.col("x").alias("a"), F.col("y").alias("b"))
         parents = tables.write("parents", _shortcut(_shortcut(_hook(edges))))
         up_a, up_b = (parents.select(F.col("node").alias(end), F.col("parent").alias(f"p{end}")) for end in ("a", "b"))
-        moved = edges.join(up_a, "a").join(up_b, "b").where("pa <> pb")
-        edges = tables.write("edges", moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
-        up = parents.select(F.col("node").alias("root"), "parent")
-        roots = tables.write("roots", roots.join(up, "root", "left").select("node", F.coalesce("parent", "root").alias("root")))
-    return roots
+        moved = edges.join(up_a, "a").join(up_b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y")).distinct()
+        up = parents.select(F.col("node").alias("y"), "parent")
+        state, left = _written(tables, moved, state.where("not edge").join(up, "y", "left").select("x", F.coalesce("parent", "y").alias("y")))
+    return state.where("not edge").select(F.col("x").alias("node"), F.col("y").alias("root"))
+
+
+def _written(tables: Rounds, edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+    """Links (``x``, ``y``) and roots (node ``x``, root ``y``) as one table, and how many links it has."""
+    seen = Observation()
+    both = edges.select(F.lit(True).alias("edge"), "x", "y").union(roots.select(F.lit(False), "x", "y"))
+    table = tables.write("state", both.observe(seen, F.count(F.when(F.col("edge"), 1)).alias("n")))
+    return table, seen.get["n"]
 
 
 def _hook(edges: DataFrame) -> DataFrame:
