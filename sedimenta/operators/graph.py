@@ -3,8 +3,9 @@
 An edge is (``tx``, ``node_col``, ``node_val``); a node is a column and a value,
 so equal values of different columns are different nodes. Sums over neighbours
 are two aggregations, edges to nodes and nodes back to transactions, and never
-a join of transactions with transactions. A join of edges with node figures on
-a hot node is split by Spark's adaptive skew join.
+a join of transactions with transactions. Edges meet figures of all nodes by a
+checked broadcast or a skew join; sums over neighbours are taken of capped
+nodes, whose edges are few by the cap.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def node_degrees(e: DataFrame) -> DataFrame:
 
 def cap_degrees(e: DataFrame, most: int) -> DataFrame:
     """Edges of nodes with at most ``most`` transactions."""
-    return e.join(node_degrees(e).where(F.col("degree") <= most).select(*NODE), NODE, "left_semi")
+    return lookup(e, node_degrees(e), NODE).where(F.col("degree") <= most).select(*e.columns)
 
 
 def of_column(e: DataFrame, column: str) -> DataFrame:
@@ -83,7 +84,7 @@ def cross_cardinality(df: DataFrame, key: str, pairs: Sequence[tuple[str, str]])
 
 def neighbour_counts(e: DataFrame, keys: DataFrame) -> DataFrame:
     """Two-hop count, attributes and their ratio for every ``tx`` of ``keys``; 0 without edges."""
-    joined = e.join(node_degrees(e), NODE)
+    joined = lookup(e, node_degrees(e), NODE)
     each = joined.groupBy("tx").agg(F.sum("degree").alias("t"), F.count("*").alias("k"))
     t, k = F.coalesce("t", F.lit(0)), F.coalesce("k", F.lit(0))
     return keys.select("tx").join(each, "tx", "left").select("tx", t.alias("graph_two_hop_count"), k.alias("graph_n_attributes"), F.coalesce(F.try_divide(t, k), F.lit(0.0)).alias("graph_avg_neighbors_per_attr"))
@@ -94,7 +95,7 @@ def attribute_entropy(e: DataFrame, keys: DataFrame) -> DataFrame:
 
     With the total T of its degrees d: ln T - sum(d ln d) / T, one aggregation.
     """
-    joined = e.join(node_degrees(e), NODE)
+    joined = lookup(e, node_degrees(e), NODE)
     each = joined.groupBy("tx").agg(F.sum("degree").alias("t"), F.sum(F.col("degree") * F.log("degree")).alias("s"))
     entropy = F.log("t") - F.col("s") / F.col("t")
     return keys.select("tx").join(each, "tx", "left").select("tx", F.coalesce(entropy, F.lit(0.0)).alias("graph_attr_entropy"))
@@ -102,7 +103,7 @@ def attribute_entropy(e: DataFrame, keys: DataFrame) -> DataFrame:
 
 def largest_of_attributes(e: DataFrame, keys: DataFrame, nodes: DataFrame, values: Sequence[str]) -> DataFrame:
     """Largest node value among each transaction's attributes; 0 if none."""
-    each = e.join(nodes, NODE).groupBy("tx").agg(*[F.max(v).alias(v) for v in values])
+    each = lookup(e, nodes.select(*NODE, *values), NODE).groupBy("tx").agg(*[F.max(v).alias(v) for v in values])
     return keys.select("tx").join(each, "tx", "left").select("tx", *[F.coalesce(v, F.lit(0)).alias(v) for v in values])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.operators.graph import NODE
+from sedimenta.operators.skew import heavy_keys, skew_join
 from sedimenta.session import Rounds
 
 
@@ -42,13 +43,15 @@ def connected_nodes(pairs: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star (Kiveris et al. 2014): every node
     links its larger neighbours, then its smaller ones, to the smallest it
-    knows, until nothing changes.
+    knows, until nothing changes. A component's smallest node gathers its links;
+    such heavy nodes meet their minimum by broadcast.
     """
+
     def star(links: DataFrame, larger: bool) -> DataFrame:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         side = both.where(F.col("v") > F.col("u") if larger else F.col("v") < F.col("u"))
-        out = side.join(low, "u").select(F.col("v").alias("b"), F.col("m").alias("a"))
+        out = skew_join(side, low, ["u"], heavy_keys(side, ["u"])).select(F.col("v").alias("b"), F.col("m").alias("a"))
         if not larger:
             out = out.union(low.select(F.col("u").alias("b"), F.col("m").alias("a")))
         return out.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -55,7 +55,7 @@ def cardinality_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         "n_singleton",
         F.coalesce(F.try_divide(F.col("n_singleton"), F.col("n_unique")), F.lit(0.0)).alias("pct_singleton"),
         "median_group_size",
-    )
+    ).orderBy(F.col("n_unique").desc(), "column_name")  # one row per column
 
 
 def coverage_across_periods(df: DataFrame, columns: Sequence[str], period: str, train: str, targets: Sequence[str]) -> DataFrame:
@@ -90,4 +90,4 @@ def missing_pattern_groups(df: DataFrame, columns: Sequence[str], key: str, leas
     parts = [x for c in columns for x in (F.lit(c), F.col(f"n_{c}"), F.col(f"x_{c}"), F.col(f"y_{c}"))]
     long = df.agg(*aggs).select(F.stack(F.lit(len(columns)), *parts).alias("column_name", "n_missing", "x", "y"))
     groups = long.groupBy("n_missing", "x", "y").agg(F.sort_array(F.collect_list("column_name")).alias("c"))
-    return groups.where(F.size("c") >= least).select(F.array_join("c", ",").alias("columns"), F.size("c").cast("long").alias("n_columns"), "n_missing")
+    return groups.where(F.size("c") >= least).select(F.array_join("c", ",").alias("columns"), F.size("c").cast("long").alias("n_columns"), "n_missing").orderBy(F.col("n_columns").desc(), "columns")  # one row per group

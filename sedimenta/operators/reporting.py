@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from datetime import datetime, timezone
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,14 +31,14 @@ def importance_table(values: DataFrame, features: Sequence[str]) -> DataFrame:
     long = values.select(F.stack(F.lit(len(features)), *parts).alias("feature", "v"))
     means = long.groupBy("feature").agg(F.avg("v").alias("mean_abs"))
     place = F.row_number().over(Window.orderBy(F.col("mean_abs").desc_nulls_last(), "feature"))  # one row per feature
-    return means.select("feature", "mean_abs", feature_group(F.col("feature")).alias("feature_group"), place.alias("place"))
+    return means.select("feature", "mean_abs", feature_group(F.col("feature")).alias("feature_group"), place.alias("place")).orderBy("place")
 
 
 def group_summary(table: DataFrame) -> DataFrame:
     """Features, total, mean, largest and share of each group."""
     each = table.groupBy("feature_group").agg(F.count("*").alias("n"), F.sum("mean_abs").alias("total"), F.avg("mean_abs").alias("mean"), F.max("mean_abs").alias("largest"))
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one row per group
-    return each.withColumn("pct_of_total", F.try_divide(F.col("total"), F.sum("total").over(every)))
+    return each.withColumn("pct_of_total", F.try_divide(F.col("total"), F.sum("total").over(every))).orderBy(F.col("total").desc(), "feature_group")
 
 
 def drop_feature(table: DataFrame, feature: str, beside: str, least_ratio: float = 0.2, most_place: int = 50) -> DataFrame:
@@ -92,6 +94,36 @@ def subgraph_documents(df: DataFrame, key: str, label: str, amount: str, edges:
     return hubs.withColumn("place", place).join(nodes, "anchor").join(links, "anchor")
 
 
+def spring_layout(documents: DataFrame, rounds: int = 60, seed: int = 42) -> DataFrame:
+    """``anchor``, ``id``, ``x`` and ``y`` of every node of the subgraphs, in a square around 0.
+
+    Forces as Fruchterman and Reingold (1991) have them: linked nodes attract,
+    all repel, steps get smaller. One subgraph is one row and has as many nodes
+    as a document may hold, so each is laid out by itself; the start is seeded.
+    """
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for anchor, ids, ends in zip(frame["anchor"], frame["ids"], frame["ends"]):
+                at = {x: i for i, x in enumerate(ids)}
+                links = np.array([(at[a], at[b]) for a, b in (e.split("\t") for e in ends)], dtype=int).reshape(-1, 2)
+                spots, ideal = np.random.default_rng(seed).uniform(-1, 1, (len(at), 2)), 1 / max(1.0, len(at)) ** 0.5
+                for step in np.linspace(0.2, 0.002, rounds):
+                    gap = spots[:, None] - spots[None]
+                    far = np.maximum(np.linalg.norm(gap, axis=2), 1e-6)
+                    move = (gap * (ideal**2 / far**2)[..., None]).sum(axis=1)
+                    pull = (spots[links[:, 0]] - spots[links[:, 1]]) * (far[links[:, 0], links[:, 1]] / ideal)[:, None]
+                    np.add.at(move, links[:, 0], -pull)
+                    np.add.at(move, links[:, 1], pull)
+                    spots = spots + move * (np.minimum(step, np.linalg.norm(move, axis=1)) / np.maximum(np.linalg.norm(move, axis=1), 1e-9))[:, None]
+                spots = spots - spots.mean(axis=0)
+                spots = spots / max(1e-9, np.abs(spots).max())
+                yield pd.DataFrame({"anchor": anchor, "id": list(at), "x": spots[:, 0], "y": spots[:, 1]})
+
+    flat = documents.select("anchor", F.col("nodes.id").alias("ids"), F.transform("edges", lambda e: F.concat_ws("\t", e["source"], e["target"])).alias("ends"))
+    return flat.mapInPandas(place, "anchor string, id string, x double, y double")
+
+
 def as_json(df: DataFrame, column: str = "document", keep: Sequence[str] = ()) -> DataFrame:
     """``keep`` and each row as one compact JSON text, NULL written as null."""
     return df.select(*keep, F.to_json(F.struct(*[c for c in df.columns if c not in keep]), {"ignoreNullFields": "false"}).alias(column))

@@ -60,4 +60,4 @@ def characteristic_stability(df: DataFrame, sample: str, expected: str, actual:
     made = joined.groupBy("feature").agg(F.sum((a - e) * F.log(a / e)).alias("psi"), F.first("bins").alias("bins"), *[F.first(c).alias(c) for c in ("te", "ta", "tse", "tsa")])
     csi = F.when(F.col("bins") < 2, F.lit(0.0)).otherwise(F.col("psi"))
     mean_e, mean_a = F.col("tse") / F.col("te"), F.col("tsa") / F.col("ta")
-    return made.select("feature", csi.alias("csi"), psi_verdict(csi).alias("verdict"), mean_e.alias("mean_expected"), mean_a.alias("mean_actual"), ((mean_a - mean_e) / (F.abs(mean_e) + FLOOR)).alias("pct_change"))
+    return made.select("feature", csi.alias("csi"), psi_verdict(csi).alias("verdict"), mean_e.alias("mean_expected"), mean_a.alias("mean_actual"), ((mean_a - mean_e) / (F.abs(mean_e) + FLOOR)).alias("pct_change")).orderBy(F.col("csi").desc(), "feature")  # one row per feature

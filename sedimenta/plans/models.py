@@ -75,6 +75,18 @@ def _importance(df: DataFrame, model: X.GBTClassificationModel, features: list[s
     return R.importance_table(X.contributions(model, sample, "TransactionID", features), features)
 
 
+def q_r10_swarm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a swarm of attributions is drawn from: value and part of the margin of the 20 weightiest features, for each sampled validation row."""
+    df = _matrix(spark, sf_dir)
+    model, features = _fitted(df, "M3_baseline_full")
+    sample = cut_lineage(R.hash_sample(df.where("split = 'val'"), "TransactionID", 2000))
+    parts = cut_lineage(X.contributions(model, sample, "TransactionID", features))
+    top = [r["feature"] for r in R.importance_table(parts, features).where("place <= 20").collect()]
+    both = sample.select("TransactionID", *[F.col(f).cast("double").alias(f"v_{f}") for f in top]).join(parts, "TransactionID")
+    stacked = [x for f in top for x in (F.lit(f), F.col(f"v_{f}"), F.col(f))]
+    return both.select("TransactionID", F.stack(F.lit(len(top)), *stacked).alias("feature", "value", "part"))
+
+
 def q_e15_weight_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For two weights of positives: calibrated on the earlier half of the validation rows, judged on the later half, raw and calibrated."""
     df, out = _matrix(spark, sf_dir), None

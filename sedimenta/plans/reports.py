@@ -13,7 +13,7 @@ from sedimenta.operators import reporting as R
 from sedimenta.plans.tabular import _TEXT, COLUMNS, SPLIT_SQL, rounded, split_tx, stored_columns, tx
 from sedimenta.plans.transactions import TX_SQL
 from sedimenta.session import checkpoint_dir, cut_lineage
-from sedimenta.sources.tables import read_csv, table
+from sedimenta.sources.tables import read_csv, table, write_json_documents, write_parquet
 
 WEIGHTS = ["C1", "C2", "C13", "V12", "V45", "D1", "D2", "dist1", "TransactionAmt"]
 ANCHORS = ["card1", "DeviceInfo", "addr1"]
@@ -105,6 +105,36 @@ def q_d4_univariate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out)
 
 
+def q_r5_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the nodes of the subgraphs are drawn."""
+    df, edges = _subgraphs(spark, sf_dir)
+    return R.spring_layout(R.subgraph_documents(df, "TransactionID", "isFraud", "TransactionAmt", edges))
+
+
+def q_s4_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage's table written as Parquet to the shared folder and read back, two columns of it."""
+    path = f"{checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
+    write_parquet(tx(spark, sf_dir, "card1", "addr1", "DeviceInfo"), path)
+    return spark.read.parquet(path).select("TransactionID", "DeviceInfo")
+
+
+def q_s7_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log as CSV read back: of each file the last load among those with a row number."""
+    path = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "loads", ["load_id", "file_name", "n_rows"]).withColumn("n_rows", F.when(F.col("load_id") % 3 != 0, F.col("n_rows")))
+    rows.withColumn("file_name", F.substring("file_name", 1, 6)).write.option("header", True).csv(path)
+    log = read_csv(spark, path, "load_id long, file_name string, n_rows long").where(F.col("n_rows").isNotNull())
+    return R.keep_last(log, "file_name", [F.col("load_id")])
+
+
+def q_s8_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly counts written as JSON documents and read back as text."""
+    path = f"{checkpoint_dir(spark)}/json-{uuid.uuid4().hex}"
+    df = split_tx(spark, sf_dir, "isFraud").withColumn("week", D.week_of(F.col("tx_day")))
+    write_json_documents(df.groupBy("week").agg(F.count("*").alias("n"), F.sum("isFraud").alias("n_fraud")), path)
+    return spark.read.text(path).withColumnRenamed("value", "document")
+
+
 def q_s1_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The loads written as CSV to the shared folder and scanned again under a schema."""
     path = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
@@ -147,6 +177,8 @@ ORACLE = {
         hu AS (SELECT anchor, count(*) AS n_transactions, sum(isFraud)::BIGINT AS n_fraud, avg(isFraud) AS rate FROM r WHERE node = anchor GROUP BY anchor),
         ns AS (SELECT anchor, list({{'id': id, 'kind': kind, 'degree': degree, 'fraud': fraud, 'amount': amount, 'label': label}} ORDER BY id) AS nodes FROM nd GROUP BY anchor), es AS (SELECT anchor, list({{'source': 'tx' || tx, 'target': node}} ORDER BY 'tx' || tx, node) AS edges FROM r GROUP BY anchor)
         SELECT hu.anchor, row_number() OVER (ORDER BY rate DESC, hu.anchor)::INTEGER AS place, to_json({{'n_transactions': n_transactions, 'n_fraud': n_fraud, 'fraud_rate': round_even(rate, 6), 'nodes': nodes, 'edges': edges}})::VARCHAR AS document FROM hu JOIN ns ON ns.anchor = hu.anchor JOIN es ON es.anchor = hu.anchor""",
+    "q_s4_parquet": f"WITH {TX_SQL} SELECT TransactionID, DeviceInfo FROM tx",
+    "q_s7_log": "SELECT load_id, left(file_name, 6) AS file_name, n_rows FROM loads WHERE load_id % 3 <> 0 AND n_rows IS NOT NULL QUALIFY row_number() OVER (PARTITION BY left(file_name, 6) ORDER BY load_id DESC) = 1",
     "q_s1_csv": "SELECT load_id, file_name, n_rows FROM loads",
     "q_u1_union": "SELECT load_id, n_rows, NULL AS split_name, NULL AS target_share FROM loads UNION ALL SELECT NULL, NULL, split_name, target_share FROM split_targets",
     "q_a20_importance": f"{_IMP} SELECT feature, round(mean_abs, 6) AS mean_abs, feature_group, place FROM imp",
@@ -156,6 +188,7 @@ ORACLE = {
     "q_a23_entities": f"{_ENT} SELECT column_name, value, n, round(rate, 6) AS rate FROM ch",
     "q_r3_edges": f"{_SUB} SELECT anchor, tx, node FROM ed",
     "q_r1_json": f"""WITH {TX_SQL} SELECT '{{"week":' || tx_week || ',"n":' || count(*) || ',"n_fraud":' || sum(isFraud) || '}}' AS document FROM tx GROUP BY tx_week""",
+    "q_s8_json": f"""WITH {TX_SQL} SELECT '{{"week":' || tx_week || ',"n":' || count(*) || ',"n_fraud":' || sum(isFraud) || '}}' AS document FROM tx GROUP BY tx_week""",
     "q_d1_missing_drift": f"{_RT}, l AS (" + " UNION ALL ".join(f"SELECT split, '{c}' AS column_name, ({c} IS NULL)::INTEGER AS g FROM s" for c in COLUMNS) + ") SELECT column_name, round(avg(g) FILTER (split = 'train'), 6) AS train, round(avg(g) FILTER (split = 'test'), 6) AS test, round(avg(g) FILTER (split = 'test') - avg(g) FILTER (split = 'train'), 6) AS change FROM l GROUP BY 1",
     "q_d4_univariate": f"""{_RT}, m AS ({_AUC}), d AS (SELECT column_name, split, x, count(*) AS n, sum(isFraud) AS pos FROM m GROUP BY ALL), c AS (SELECT *, sum(pos) OVER (PARTITION BY column_name, split ORDER BY x DESC) AS cp, sum(n) OVER (PARTITION BY column_name, split) AS tn, sum(pos) OVER (PARTITION BY column_name, split) AS tp FROM d)
         SELECT column_name, split, round(sum((n - pos) * (cp - pos / 2)) / nullif(any_value(tp::DOUBLE * (tn - tp)), 0), 6) AS auc, any_value(tn)::BIGINT AS n FROM c GROUP BY 1, 2""",

@@ -157,3 +157,22 @@ def test_simulation_counts_good_rows_by_weight(spark):
         assert (r.review_rate, r.recall, r.fn_cost, r.total_cost) == pytest.approx(((good + bad) / 9.5, bad / 2, missed, missed + 3 * good))
         assert r.precision == (pytest.approx(bad / (good + bad)) if good + bad else None)
     assert costs.simulate(df.limit(0), "y", "points", "cents", "w", [300], 3.0).first().review_rate is None
+
+
+def test_layout_puts_linked_nodes_near(spark):
+    edges = [(a, f"t{g}{i}", a) for g, a in enumerate(("u=1", "v=2")) for i in range(6 + g)] + [("u=1", "t00", "w=9"), ("u=1", "t01", "w=9")]
+    links = spark.createDataFrame([(a, int(t[1:]), n) for a, t, n in edges], "anchor string, tx long, node string")
+    rows_ = spark.createDataFrame([(int(t[1:]), 1, 2.5) for t in sorted({t for _, t, _ in edges})], "k long, y long, amount double")
+    documents = reporting.subgraph_documents(rows_, "k", "y", "amount", links)
+    assert [r.place for r in documents.orderBy("anchor").collect()] == [1, 2]
+    spots = {(r.anchor, r.id): np.array([r.x, r.y]) for r in reporting.spring_layout(documents).collect()}
+    assert len(spots) == 6 + 2 + 7 + 1 and all(np.abs(p).max() <= 1 + 1e-9 for p in spots.values())
+    near = [np.linalg.norm(spots[a, f"tx{int(t[1:])}"] - spots[a, n]) for a, t, n in edges]
+    every = [np.linalg.norm(p - q) for (a, _), p in spots.items() for (b, _), q in spots.items() if a == b]
+    assert np.mean(near) < np.mean([d for d in every if d > 0]) and reporting.spring_layout(documents.limit(0)).collect() == []
+
+
+def test_command_line(spark, capsys):
+    from sedimenta.__main__ import main
+
+    assert main(["nowhere"]) == 0 and "p5_found" in capsys.readouterr().out and main(["nowhere", "no_such_query"]) == 2
