@@ -14,7 +14,9 @@ def pagerank(e: DataFrame, keys: DataFrame, damping: float = 0.85, rounds: int =
     """``tx`` and ``rank``: a walk from transaction to attribute to transaction; sums to 1.
 
     Mass of transactions without attributes is dealt to all evenly. Ends after
-    ``rounds``, or when the ranks move less than ``tolerance`` in sum.
+    ``rounds``, or when the ranks move less than ``tolerance`` in sum. A round
+    is one job: what the linked transactions hold, all that a round passes on,
+    and how far the ranks moved are summed up as they are written.
     """
     n = keys.count()
     if not n:
@@ -24,18 +26,19 @@ def pagerank(e: DataFrame, keys: DataFrame, damping: float = 0.85, rounds: int =
     nodes = sized.groupBy(*NODE).agg(F.count("*").alias("d"))
     tables = Rounds(e.sparkSession)
     links = tables.write("links", sized.join(nodes, NODE).withColumn("node", F.xxhash64(*NODE)).select("tx", "node", "k", "d"))
-    ranks = keys.select("tx", F.lit(1.0 / n).alias("rank"))
+    linked = links.select("tx").distinct().withColumn("linked", F.lit(True))
+    ranks, sums = tables.write_measured("ranks", keys.select("tx").join(linked, "tx", "left").select("tx", F.lit(1.0 / n).alias("rank"), "linked"), passed=F.sum(F.when(F.col("linked"), F.col("rank"))))
     for _ in range(rounds):
-        to_node = links.join(ranks, "tx").groupBy("node").agg((F.sum(F.col("rank") / F.col("k")) / F.first("d")).alias("m"))
+        spare = (1.0 - (1 - damping) - damping * sums["passed"]) / n
+        to_node = links.join(ranks.select("tx", "rank"), "tx").groupBy("node").agg((F.sum(F.col("rank") / F.col("k")) / F.first("d")).alias("m"))
         gained = links.join(to_node, "node").groupBy("tx").agg(F.sum("m").alias("g"))
-        moved = ranks.join(gained, "tx", "left").select("tx", F.col("rank").alias("was"), ((1 - damping) / n + damping * F.coalesce("g", F.lit(0.0))).alias("rank"))
-        moved = tables.write("ranks", moved)
-        spare = (1.0 - (moved.agg(F.sum("rank")).first()[0] or 0.0)) / n
-        step = moved.agg(F.sum(F.abs(F.col("rank") + spare - F.col("was")))).first()[0]
-        ranks = moved.select("tx", (F.col("rank") + spare).alias("rank"))
-        if step < tolerance:
+        now = (1 - damping) / n + damping * F.coalesce("g", F.lit(0.0)) + spare
+        moved = ranks.withColumnRenamed("rank", "was").join(gained, "tx", "left").select("tx", now.alias("rank"), "linked", F.abs(now - F.col("was")).alias("step"))
+        ranks, sums = tables.write_measured("ranks", moved, passed=F.sum(F.when(F.col("linked"), F.col("rank"))), step=F.sum("step"))
+        if sums["step"] < tolerance:
             break
-    return ranks
+    tables.drop("links")
+    return ranks.select("tx", "rank")
 
 
 def connected_nodes(pairs: DataFrame) -> DataFrame:
@@ -57,12 +60,12 @@ def connected_nodes(pairs: DataFrame) -> DataFrame:
         return out.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     tables = Rounds(pairs.sparkSession)
-    links = tables.write("links", pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    state = links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+    mark = {"n": F.count("*"), "hash": F.bit_xor(F.xxhash64("a", "b"))}
+    links, state = tables.write_measured("links", pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), **mark)
     alone = pairs.where("a = b").select(F.col("a").alias("node")).distinct()
     while True:
-        links = tables.write("links", star(star(links, True), False))
-        was, state = state, links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        was = state
+        links, state = tables.write_measured("links", star(star(links, True), False), **mark)
         if was == state:
             break
     found = links.select(F.col("b").alias("node"), F.col("a").alias("root")).union(links.select("a", "a").distinct())
@@ -112,9 +115,10 @@ def core_numbers(pairs: DataFrame, most_rounds: int = 100_000) -> DataFrame:
         last = F.aggregate("x", zero, lambda s, i: F.struct((s["upto"] + i["n"]).alias("upto"), F.greatest(s["h"], F.least(-i["d"], s["upto"] + i["n"])).cast("long").alias("h")))
         lower = items.select("u", last["h"].alias("h"))
         moved = F.coalesce(F.col("h") < F.col("core"), F.lit(False))
-        guess = tables.write("cores", guess.drop("changed").join(lower, "u", "left").select("u", F.when(moved, F.col("h")).otherwise(F.col("core")).alias("core"), moved.alias("changed")))
-        if not guess.where("changed").limit(1).count():
+        guess, seen = tables.write_measured("cores", guess.drop("changed").join(lower, "u", "left").select("u", F.when(moved, F.col("h")).otherwise(F.col("core")).alias("core"), moved.alias("changed")), n=F.count(F.when(F.col("changed"), 1)))
+        if not seen["n"]:
             break
+    tables.drop("both")
     return guess.select(F.col("u").alias("node"), "core")
 
 
@@ -137,11 +141,10 @@ def louvain(pairs: DataFrame, resolution: float = 1.0, sweeps: int = 8, levels:
     links = tables.write("links", two.union(two.select("v", "u", "w")).union(own).groupBy("u", "v").agg(F.sum("w").alias("w")))
     member = tables.write("member", links.select(F.col("u").alias("node")).distinct().withColumn("community", F.col("node")))
     for level in range(levels):
-        state = tables.write("state", links.groupBy("u").agg(F.sum("w").alias("k")).withColumn("c", F.col("u")))
-        n, total = state.agg(F.count("*"), F.sum("k")).first()
-        if not n or not total:
+        state, seen = tables.write_measured("state", links.groupBy("u").agg(F.sum("w").alias("k")).withColumn("c", F.col("u")), n=F.count("*"), total=F.sum("k"))
+        if not seen["n"] or not seen["total"]:
             break
-        state, moves = _local_moves(tables, links, state, n, float(total), resolution, sweeps, least_move, seed + 100 * level)
+        state, moves = _local_moves(tables, links, state, seen["n"], float(seen["total"]), resolution, sweeps, least_move, seed + 100 * level)
         if not moves:
             break
         up = state.select(F.col("u").alias("community"), F.col("c").alias("above"))
@@ -149,6 +152,7 @@ def louvain(pairs: DataFrame, resolution: float = 1.0, sweeps: int = 8, levels:
         ends = [state.select(F.col("u").alias(end), F.col("c").alias(f"c{end}")) for end in ("u", "v")]
         moved = links.join(ends[0], "u").join(ends[1], "v")
         links = tables.write("links", moved.groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
+    tables.drop("links", "state")
     first = member.groupBy("community").agg(F.min("node").alias("first"))
     return member.join(first, "community").select("node", F.col("first").alias("community"))
 
@@ -170,9 +174,8 @@ def _local_moves(tables: Rounds, links: DataFrame, state: DataFrame, n: int, tot
             judged = ways.join(state.select("u", "k", F.col("c").alias("home")), "u").join(sizes, "c").select("u", "c", gain.alias("gain"), at_home.alias("at_home"))
             best = judged.groupBy("u").agg(F.min_by("c", F.struct(-F.col("gain"), F.col("c"))).alias("to"), F.max("gain").alias("most"), F.max(F.when(F.col("at_home"), F.col("gain"))).alias("now"))
             goes = best.where(F.col("most") > F.col("now") + 1e-12).select("u", "to")
-            state = tables.write("state", state.join(goes, "u", "left").select("u", "k", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")))
-            in_sweep += state.where("moved").count()
-            state = state.drop("moved")
+            state, seen = tables.write_measured("state", state.join(goes, "u", "left").select("u", "k", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")), n=F.count(F.when(F.col("moved"), 1)))
+            in_sweep, state = in_sweep + seen["n"], state.drop("moved")
         every += in_sweep
         if in_sweep <= least_move * n:
             break

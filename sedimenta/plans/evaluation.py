@@ -20,7 +20,7 @@ from sedimenta.plans.tabular import _REALS, SPLIT_SQL, rounded, split_tx, stored
 from sedimenta.plans.transactions import TX_SQL
 from sedimenta.session import cut_lineage
 
-#: Numbers of the four stand-in models: step, and weight of the label.
+# The names of the four models. Each stand-in has a step, and a weight of the label.
 MODELS = {"M1_baseline_noC": (7919, 0.25), "M2_graph_noC": (6323, 0.15), "M3_baseline_full": (104729, 0.3), "M4_graph_full": (1299709, 0.2)}
 
 

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -81,6 +81,21 @@ class Rounds:
         path = f"{self.folder}/{name}-{n}"
         df.write.parquet(path)
         if n > 1:
-            old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}-{n - 1}")
-            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+            self._delete(name, n - 1)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing reads any more."""
+        for name in names:
+            if name in self.at:
+                self._delete(name, self.at[name])
+
+    def _delete(self, name: str, n: int) -> None:
+        old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}-{n}")
+        old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    def write_measured(self, name: str, df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+        """:meth:`write`, and aggregates of the rows, taken as they are written; no job of their own. NULL counts as 0."""
+        seen = Observation()
+        table = self.write(name, df.observe(seen, *[c.alias(k) for k, c in measures.items()]))
+        return table, {k: v or 0 for k, v in seen.get.items()}
