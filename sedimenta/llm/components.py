@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.session import Rounds
@@ -24,23 +24,23 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     proper = links.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull() & (F.col("x") < F.col("y"))).distinct()
     tables = Rounds(links.sparkSession)
     ends = proper.select(F.explode(F.array("x", "y")).alias("x")).distinct()
-    state, left = _written(tables, proper, ends.select("x", F.col("x").alias("y")))
+    state, left = _measured(tables, proper, ends.select("x", F.col("x").alias("y")))
     while left:
         edges = state.where("edge").select(F.col("x").alias("a"), F.col("y").alias("b"))
         parents = tables.write("parents", _shortcut(_shortcut(_hook(edges))))
         up_a, up_b = (parents.select(F.col("node").alias(end), F.col("parent").alias(f"p{end}")) for end in ("a", "b"))
         moved = edges.join(up_a, "a").join(up_b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y")).distinct()
         up = parents.select(F.col("node").alias("y"), "parent")
-        state, left = _written(tables, moved, state.where("not edge").join(up, "y", "left").select("x", F.coalesce("parent", "y").alias("y")))
+        state, left = _measured(tables, moved, state.where("not edge").join(up, "y", "left").select("x", F.coalesce("parent", "y").alias("y")))
+    tables.drop("parents")
     return state.where("not edge").select(F.col("x").alias("node"), F.col("y").alias("root"))
 
 
-def _written(tables: Rounds, edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+def _measured(tables: Rounds, edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
     """Links (``x``, ``y``) and roots (node ``x``, root ``y``) as one table, and how many links it has."""
-    seen = Observation()
     both = edges.select(F.lit(True).alias("edge"), "x", "y").union(roots.select(F.lit(False), "x", "y"))
-    table = tables.write("state", both.observe(seen, F.count(F.when(F.col("edge"), 1)).alias("n")))
-    return table, seen.get["n"]
+    table, seen = tables.write_measured("state", both, n=F.count(F.when(F.col("edge"), 1)))
+    return table, seen["n"]
 
 
 def _hook(edges: DataFrame) -> DataFrame:

@@ -394,7 +394,8 @@ def subject_posteriors(docs: DataFrame, doc_id: str, text: str, labels: DataFram
     binned over all documents, with the labels as far as there are. NULL and
     empty texts have no row; without any label there is no row at all. Labels
     of unknown documents or subjects and repeated ones change nothing. Texts
-    are cut into words once; the words are kept in the shared folder.
+    are cut into words once; the words stay in the shared folder until each
+    document's features are there.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -408,6 +409,7 @@ def subject_posteriors(docs: DataFrame, doc_id: str, text: str, labels: DataFram
     least = max(settings.least_docs, settings.share * cut.where(F.col("counts").isNull()).count())
     vocabulary = sorted(r[0] for r in word_counts(cut).where(F.col("n") >= least).select("word").collect())
     features = tables.write("features", with_labels(featurise(cut, doc_id, vocabulary), doc_id, known, subjects, settings))
+    tables.drop("words")
     model = train(features, len(subjects), len(vocabulary), settings)
     return score(features, doc_id, subjects, model, settings) if model else nothing
 
