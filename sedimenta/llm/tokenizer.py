@@ -72,6 +72,7 @@ class Transducer:
         self.settled: dict[int, tuple[int, ...]] = {}
         self.places: list[tuple[tuple[int, int, tuple[int, ...]], ...]] = []
         self.names: dict[tuple, int] = {}
+        self.shared: dict[tuple, tuple] = {}
         self._name(((0, -1, ()),))
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -129,7 +130,8 @@ class Transducer:
             if n:
                 self.settled[key] = least[:n]
                 kept = [(node, last, open_[n:]) for node, last, open_ in kept]
-        kept = tuple(kept)
+        share = self.shared.setdefault  # equal places of different states are one object
+        kept = tuple([share(p, p) for p in kept])
         state = self.names.get(kept)
         state = self.step[key] = self._name(kept) if state is None else state
         return state
