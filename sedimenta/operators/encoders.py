@@ -12,7 +12,7 @@ from sedimenta.operators.skew import lookup
 
 
 def amount_features(amount: Column) -> dict[str, Column]:
-    """``amt_log`` = ln(1 + x) and ``amt_decimal``, the part after the point."""
+    """``amt_log`` = ln(1 + x), NULL for -1 and below, and ``amt_decimal``, the part after the point."""
     return {"amt_log": F.log1p(amount), "amt_decimal": amount - F.floor(amount)}
 
 

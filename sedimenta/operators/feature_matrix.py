@@ -67,7 +67,7 @@ def feature_matrix(df: DataFrame, key: str, meta: Sequence[str], train: Column,
     columns = dict.fromkeys([*labels, *frequencies, *groups])
     found = lookup_columns(df, key, {c: c for c in columns}, fit_dictionary(df.where(train), config), ["n", "code", "mean", "std"])
     value = F.col(config.value)
-    derived = [F.col(c) for c in config.time] + [c.alias(n) for n, c in amount_features(F.when(value > -1, value)).items() if n in config.amount]
+    derived = [F.col(c) for c in config.time] + [c.alias(n) for n, c in amount_features(value).items() if n in config.amount]
     encoded = [F.coalesce(f"code~{c}", F.lit(-1)).alias(f"le_{c}") for c in labels] + [F.coalesce(f"n~{c}", F.lit(0)).alias(f"freq_{c}") for c in frequencies]
     for c in groups:
         encoded += [F.col(f"{s}~{c}").alias(f"{config.value}_{c}_{s}") for s in config.stats]

@@ -65,8 +65,7 @@ def q_p2_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_p4_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = F.when(F.col("TransactionAmt") > -1, F.col("TransactionAmt"))
-    return rounded(tx(spark, sf_dir, "TransactionAmt").select("TransactionID", *[c.alias(n) for n, c in E.amount_features(known).items()]))
+    return rounded(tx(spark, sf_dir, "TransactionAmt").select("TransactionID", *[c.alias(n) for n, c in E.amount_features(F.col("TransactionAmt")).items()]))
 
 
 def q_p5_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +173,7 @@ def _matrix_sql() -> str:
     config = MatrixConfig()
     stored = ["card1", "has_identity", *_REALS, *TEXTS]
     labels, frequencies = ([c for c in cs if c in stored] for cs in (config.label_encode, config.frequency_encode))
-    ctes, joins, out = [], [], ["s.TransactionID", "isFraud", "tx_day", "split", "CAST(floor(TransactionDT / 3600.0) AS BIGINT) % 24 AS hour", "tx_day % 7 AS dayofweek", "round(ln(1 + TransactionAmt), 9) AS amt_log", "round(TransactionAmt - floor(TransactionAmt), 9) AS amt_decimal"]
+    ctes, joins, out = [], [], ["s.TransactionID", "isFraud", "tx_day", "split", "CAST(floor(TransactionDT / 3600.0) AS BIGINT) % 24 AS hour", "tx_day % 7 AS dayofweek", "round(ln(1 + CASE WHEN TransactionAmt > -1 THEN TransactionAmt END), 9) AS amt_log", "round(TransactionAmt - floor(TransactionAmt), 9) AS amt_decimal"]
     for c in dict.fromkeys([*labels, *frequencies, *config.groups]):
         ctes.append(f"d_{c} AS (SELECT {c} AS v, count(*) AS n, row_number() OVER (ORDER BY {c}) - 1 AS code, avg(TransactionAmt) AS m, stddev_samp(TransactionAmt) AS d FROM s WHERE split = 'train' AND {c} IS NOT NULL GROUP BY {c})")
         joins.append(f"LEFT JOIN d_{c} ON d_{c}.v = s.{c}")
@@ -194,7 +193,7 @@ ORACLE = {
     "q_j2_matrix_join": f"WITH {TX_SQL} SELECT tx.TransactionID, isFraud, CASE WHEN is_train THEN 'train' WHEN is_gap THEN 'gap' WHEN is_val THEN 'val' WHEN is_test THEN 'test' END AS split, CAST(m.TransactionID IS NOT NULL AS INTEGER) AS has_mask FROM tx LEFT JOIN split_masks m ON m.TransactionID = tx.TransactionID",
     "q_j5_unseen_cards": f"{_W} SELECT card1, count(*) AS n FROM s WHERE split = 'test' AND card1 NOT IN (SELECT card1 FROM s WHERE split = 'train' AND card1 IS NOT NULL) GROUP BY card1",
     "q_p2_time": f"WITH {TX_SQL} SELECT TransactionID, tx_day AS day, tx_week AS week, CAST(floor(TransactionDT / 3600.0) AS BIGINT) % 24 AS hour, tx_day % 7 AS dayofweek FROM tx",
-    "q_p4_amount": f"WITH {TX_SQL}, a AS (SELECT TransactionID, CASE WHEN TransactionAmt > -1 THEN TransactionAmt END AS x FROM tx) SELECT TransactionID, round(ln(1 + x), 6) AS amt_log, round(x - floor(x), 6) AS amt_decimal FROM a",
+    "q_p4_amount": f"WITH {TX_SQL}, a AS (SELECT TransactionID, TransactionAmt AS x FROM tx) SELECT TransactionID, round(ln(1 + CASE WHEN x > -1 THEN x END), 6) AS amt_log, round(x - floor(x), 6) AS amt_decimal FROM a",
     "q_p5_narrow": " UNION ALL ".join(_NARROW),
     "q_p7_features": """SELECT column_name, CASE WHEN column_name IN ('TransactionAmt', 'dist1', 'dist2', 'has_identity') THEN 'base' WHEN regexp_full_match(column_name, 'D[0-9]+') THEN 'D'
         WHEN regexp_full_match(column_name, 'C[0-9]+') THEN 'C' WHEN column_name LIKE 'V%' THEN 'V' ELSE 'id' END AS block FROM (DESCRIBE merged_train)
@@ -212,7 +211,7 @@ ORACLE = {
     "q_a4_coverage": f"""{_W}{_LONG}, tr AS (SELECT column_name, value FROM counts WHERE split = 'train' AND value IS NOT NULL)
         SELECT c.column_name, c.split, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_unique, round(coalesce(sum(n) FILTER (tr.value IS NOT NULL), 0) / sum(n), 6) AS pct_rows_covered, round(count(tr.value) / count(*), 6) AS pct_values_covered
         FROM counts c LEFT JOIN tr ON tr.column_name = c.column_name AND tr.value = c.value WHERE c.split IN ('val', 'test') AND c.value IS NOT NULL GROUP BY 1, 2""",
-    "q_a5_missing": f"WITH {TX_SQL}, x AS (SELECT *, tx_day - D1 AS start_day, TransactionAmt AS amt_log, TransactionAmt AS amt_decimal FROM tx), p AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS n_missing, bit_xor(CASE WHEN {c} IS NULL THEN hash(TransactionID) ELSE 0::UBIGINT END) AS x FROM x" for c in [*COLUMNS, "start_day", "amt_log", "amt_decimal", "domain"]) + ") SELECT string_agg(column_name, ',' ORDER BY column_name) AS columns, count(*) AS n_columns, n_missing FROM p GROUP BY n_missing, x HAVING count(*) >= 2",
+    "q_a5_missing": f"WITH {TX_SQL}, x AS (SELECT *, tx_day - D1 AS start_day, CASE WHEN TransactionAmt > -1 THEN TransactionAmt END AS amt_log, TransactionAmt AS amt_decimal FROM tx), p AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS n_missing, bit_xor(CASE WHEN {c} IS NULL THEN hash(TransactionID) ELSE 0::UBIGINT END) AS x FROM x" for c in [*COLUMNS, "start_day", "amt_log", "amt_decimal", "domain"]) + ") SELECT string_agg(column_name, ',' ORDER BY column_name) AS columns, count(*) AS n_columns, n_missing FROM p GROUP BY n_missing, x HAVING count(*) >= 2",
     "q_a7_frequency": f"{_W}, a AS (SELECT card1, count(*) AS n FROM s WHERE split = 'train' GROUP BY 1), b AS (SELECT DeviceInfo, count(*) AS n FROM s WHERE split = 'train' GROUP BY 1) SELECT TransactionID, coalesce(a.n, 0) AS freq_card1, coalesce(b.n, 0) AS freq_DeviceInfo FROM s LEFT JOIN a ON a.card1 = s.card1 LEFT JOIN b ON b.DeviceInfo = s.DeviceInfo",
     "q_a8_group_stats": f"{_W}, a AS (SELECT card1, avg(TransactionAmt) AS m, stddev_samp(TransactionAmt) AS d FROM s WHERE split = 'train' GROUP BY 1) SELECT TransactionID, round(m, 9) AS TransactionAmt_card1_mean, round(d, 9) AS TransactionAmt_card1_std, round(TransactionAmt / nullif(m, 0), 9) AS TransactionAmt_card1_ratio FROM s LEFT JOIN a ON a.card1 = s.card1",
     "q_w5_codes": f"{_W}, a AS (SELECT P_emaildomain, row_number() OVER (ORDER BY P_emaildomain COLLATE C) - 1 AS c FROM (SELECT DISTINCT P_emaildomain FROM s WHERE split = 'train' AND P_emaildomain IS NOT NULL)) SELECT TransactionID, coalesce(c, -1) AS le_P_emaildomain FROM s LEFT JOIN a ON a.P_emaildomain = s.P_emaildomain".replace(" COLLATE C", ""),

@@ -90,8 +90,8 @@ def test_encoders_look_at_training_rows_only(spark):
     assert code == {1: 2, 2: 2, 3: 0, 4: -1, 5: 1, 6: 2, 7: -1, 8: -1}
     stat = {r.k: (r.v_c_mean, r.v_c_std, r.v_c_ratio) for r in E.apply_group_stats(df, E.fit_group_stats(train, "c", "v"), "c", "v").collect()}
     assert stat[6] == pytest.approx((6.0, math.sqrt(8), 2.0)) and stat[3] == (6.0, None, 1.0) and stat[7] == stat[8] == (None, None, None)
-    amounts = spark.createDataFrame([(0.25,), (41.0,)], "v double").select(*[c.alias(n) for n, c in E.amount_features(F.col("v")).items()]).collect()
-    assert [tuple(r) for r in amounts] == [pytest.approx((math.log(1.25), 0.25)), pytest.approx((math.log(42), 0.0))]
+    amounts = spark.createDataFrame([(0.25,), (41.0,), (-14.25,), (None,)], "v double").select(*[c.alias(n) for n, c in E.amount_features(F.col("v")).items()]).collect()
+    assert [tuple(r) for r in amounts[:2]] == [pytest.approx((math.log(1.25), 0.25)), pytest.approx((math.log(42), 0.0))] and [tuple(r) for r in amounts[2:]] == [(None, 0.75), (None, None)]
 
 
 def test_running_totals_over_ranges(spark):
