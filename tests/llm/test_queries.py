@@ -81,3 +81,12 @@ def test_subjects_agree_with_most_labels(spark):
     assert max(Counter(d for d, _ in found).values()) <= 2
     composition = {r.subject: r.n for r in queries.p9_composition(spark, SF).collect()}
     assert composition == {s: sum(x == s for _, x in found) for s in composition}
+
+
+@pytest.mark.parametrize("name", ["p1_found", "p1_shares", "p3_found", "p3_distinct"])
+def test_query_over_skewed_tables(spark, name, tmp_path):
+    pytest.importorskip("duckdb")
+    from tests.skewed import skewed_tables
+
+    folder = skewed_tables(SF, tmp_path)
+    assert differences(queries.QUERIES[name](spark, folder), connect(folder), queries.ORACLE[name]) == []
