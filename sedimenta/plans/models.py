@@ -210,7 +210,7 @@ def _finer(sql: str) -> str:
 
 _DOCUMENTS = f"""SELECT 'gain_curve' AS name, '{{' || {_joined('review_rate', review_rate=4, recall=4, lift=3, precision=4)} || '}}' AS document FROM ({_finer(EVALUATION['q_e6_gain'])})
   UNION ALL SELECT 'score_bands', {_objects('band', band=None, n=None, n_fraud=None, fraud_rate=5, score_min=1, score_max=1, cum_pct_fraud=4)} FROM ({_finer(EVALUATION['q_e5_bands'])})
-  UNION ALL SELECT 'score_sample', '{{"sampling":{{"n_total_test":' || any_value(total) || ',"n_sampled":' || count(*) || ',"n_fraud_sampled":' || sum(isFraud) || ',"good_weight":' || CAST(CAST(max(weight) FILTER (isFraud = 0) AS DECIMAL(20,4)) AS VARCHAR) || '}},' || {_joined('TransactionID', score=1, prob=5)} || ',"label":[' || string_agg(isFraud::VARCHAR, ',' ORDER BY TransactionID) || '],' || {_joined('TransactionID', amount=2)} || '}}'
+  UNION ALL SELECT 'score_sample', '{{"sampling":{{"n_total_test":' || any_value(total) || ',"n_sampled":' || count(*) || ',"n_fraud_sampled":' || sum(isFraud) || ',"good_weight":' || coalesce(CAST(CAST(max(weight) FILTER (isFraud = 0) AS DECIMAL(20,4)) AS VARCHAR), 'null') || '}},' || {_joined('TransactionID', score=1, prob=5)} || ',"label":[' || string_agg(isFraud::VARCHAR, ',' ORDER BY TransactionID) || '],' || {_joined('TransactionID', amount=2)} || '}}'
     FROM ({_TEST}, b AS (SELECT count(*) AS total, count(*) FILTER (isFraud = 0) AS good, count(*) FILTER (isFraud = 1) AS bad FROM s), g AS (SELECT TransactionID, isFraud, p AS prob, {_PTS} AS score, cents / 100.0::DOUBLE AS amount, total, 1.0::DOUBLE AS weight FROM s, b WHERE isFraud = 1
       UNION ALL (SELECT TransactionID, isFraud, p, {_PTS}, cents / 100.0::DOUBLE, total, good / greatest(0, least(good, 400 - bad))::DOUBLE FROM s, b WHERE isFraud = 0 QUALIFY row_number() OVER (ORDER BY md5(TransactionID || '-42'), TransactionID) <= 400 - bad)) SELECT * FROM g)
   UNION ALL SELECT 'cost_sensitivity', '{{"baseline_cost":' || CAST(CAST((SELECT amt FROM base) AS DECIMAL(20,2)) AS VARCHAR) || ',"days_in_period":31,"scenarios":' || {_objects('cost_fp', cost_fp=1, optimal_threshold=5, review_rate=4, recall=4, total_cost=2, savings_per_month=2, pct_cost_reduction=4)} || '}}' FROM ({_finer(_COSTED)})"""
